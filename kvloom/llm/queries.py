@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import simhash, urlfilter
+from kvloom.llm import mixing, simhash, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ URL_RULES = [
 ]
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
@@ -35,6 +40,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_url_filters": op3_url_filters,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
