@@ -65,4 +65,16 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_url_filters": OP3, "op9_nearest_neighbours": OP9, "op10_benchmark_decontamination": OP10}
+OP8 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op3_url_filters": OP3, "op8_warc_index": OP8, "op9_nearest_neighbours": OP9, "op10_benchmark_decontamination": OP10}

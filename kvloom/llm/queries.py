@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm import decontaminate, mixing, nearest, simhash, substring, urlfilter
+from kvloom.llm import decontaminate, mixing, nearest, simhash, substring, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=3)
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back through the index; revisits take the length from their record."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    read = warc.lookup(spark, archive, pages)
+    return read.select(
+        F.col("id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
@@ -61,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_warc_index": op8_warc_index,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
