@@ -56,7 +56,8 @@ def url_key(url: str | None) -> str:
     rest = rest.partition("://")[2] if "://" in rest else rest
     cut = min((i for i in (rest.find("/"), rest.find("?")) if i >= 0), default=len(rest))
     host = rest[:cut].lower()
-    return ",".join(reversed(host.split("."))) + ")" + (rest[cut:].lower() or "/")
+    key = ",".join(reversed(host.split("."))) + ")" + (rest[cut:].lower() or "/")
+    return key.replace("\t", "%09").replace("\n", "%0A")
 
 
 def _clean(value: str) -> str:
@@ -150,7 +151,7 @@ def _write_index(folder: str):
                 if out is None:
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
                     first_key = r["key"]
-                held.append(r | {"key": r["key"].replace("\t", "%09").replace("\n", "%0A")})
+                held.append(r)
                 if len(held) == BLOCK_LINES:
                     close_block()
         if out is None:
@@ -266,7 +267,7 @@ def lookup(spark: SparkSession, archive: Archive, urls: DataFrame, url_col: str
                     for old in list(files):
                         files.pop(old).file.close()
                     files[name] = IndexFile(store, f"{base}/{name}")
-                for line in files[name].find(k.replace("\t", "%09").replace("\n", "%0A")):
+                for line in files[name].find(k):
                     _, _, file, offset, length, *_ = line
                     if file not in warcs:
                         if len(warcs) >= 64:
