@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.shared import checkpointed
+from kvloom.llm.shared import checkpointed, parts
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -93,6 +93,7 @@ def mix(
     key = F.xxhash64(F.lit(seed), "id", "size")
     placed = rows.withColumn("h", key).join(sources, "source_key")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "h"), F.greatest("shards", F.lit(1))))
+    placed = placed.repartition(parts(docs.sparkSession), "source_key", "shard")  # else a hot source stays in one task
     shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     shards = checkpointed(sainte_lague(shards, ["source_key"], "shard_size", "quota", ["shard"], "quota_blocks"))
     shards = shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / block_words).cast("long"))
