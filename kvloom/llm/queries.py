@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm import decontaminate, mixing, nearest, simhash, substring, toxicity, urlfilter, warc
+from kvloom.llm import decontaminate, language, mixing, nearest, quality, simhash, substring, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,21 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document; grades: 0 poor, 1 good but toxic, 2 good."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    model = quality.train(docs, ratings, grades=3)
+    return quality.score(docs, model, least_grade=1).withColumn("held_out", toxicity.held_out())
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross-entropy difference of every document; the target is the documents labelled good and not toxic."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where(~toxicity.held_out()).where("quality = 1 AND toxic = 0")
+    return language.score(docs, *language.train(docs, good))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 20-word windows that start earlier."""
     out = substring.dedup_substrings(table(spark, sf_dir, "documents"), window=20)
@@ -77,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_url_filters": op3_url_filters,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_warc_index": op8_warc_index,
