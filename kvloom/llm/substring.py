@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvloom.llm.kernel import SPACES, Sequences, Words, mix, signed, slices
 from kvloom.llm.shared import checkpointed, order_id, parts
@@ -142,16 +143,17 @@ def _streamed(rows: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(doc, th, z): texts compressed, since they are shuffled."""
+    """(doc, th, z, rest): texts compressed, since they are shuffled."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in slices(batch):
                 z = [tool.compress(t.as_buffer()) if t.is_valid else b"" for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(z, pa.binary())], ["doc", "th", "z"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(z, pa.binary()), part.column("rest")], ["doc", "th", "z", "rest"])
 
-    return docs.mapInArrow(of_batches, "doc long, th int, z binary")
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("th", T.IntegerType()), T.StructField("z", T.BinaryType()), docs.schema["rest"]])
+    return docs.mapInArrow(of_batches, schema)
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -185,14 +187,14 @@ def _boundary_windows(window: int):
     return of_batches
 
 
-def _cut(window: int):
-    """For mapInArrow: texts with their copied windows to (id, n_words, n_removed, kept, factors)."""
+def _cut(window: int, verbatim: bool):
+    """For mapInArrow: texts with their copied windows to (id, n_words, n_removed, kept, factors, rest)."""
     factor = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
     def one(text: bytes, runs: list[dict]) -> tuple[int, int, str, list[dict]]:
         words = text.split()
         if not runs:
-            return len(words), 0, b" ".join(words).decode(), []
+            return len(words), 0, (text if verbatim else b" ".join(words)).decode(), []
         keep = np.ones(len(words), bool)
         factors: list[dict] = []
         for r in sorted(runs, key=lambda r: (r["a"], -r["n"], r["ref_doc"], r["ref_a"])):
@@ -212,31 +214,35 @@ def _cut(window: int):
                 done = [one(t, r or []) for t, r in zip(_unpacked(part.column("z")), part.column("runs").to_pylist(), strict=True)]
                 n, gone, kept, factors = zip(*done, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), part.column("th"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, factor)],
-                    ["doc", "th", "n_words", "n_removed", "kept", "factors"],
+                    [part.column("doc"), part.column("th"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, factor), part.column("rest")],
+                    ["doc", "th", "n_words", "n_removed", "kept", "factors", "rest"],
                 )
 
     return of_batches
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th, n_words, n_removed, kept (the words left, joined by one space) and factors of every row.
+def dedup_substrings(
+    docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), verbatim: bool = False
+) -> DataFrame:
+    """id, th, n_words, n_removed, kept (the words left, joined by one space), factors and rest of every row.
 
-    th tells rows apart that share an id; factors are the duplicate spans with the earlier place that each copies.
+    th tells rows apart that share an id; factors are the duplicate spans with the earlier place that each copies; rest
+    is a struct of the columns to carry. verbatim: a text that loses nothing stays as it is, blanks and all.
     """
     if not 2 * GRAM <= window <= GRAM + 15:
         raise ValueError(f"window must be {2 * GRAM} to {GRAM + 15} words")
-    own = docs.select(order_id(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    own = own.select("doc", _short_hash("text").alias("th"), "text")
-    blocks = checkpointed(_streamed(own.mapInArrow(_index(window), "key long, block long, doc long, place long")))
+    rest = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    own = docs.select(order_id(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    own = own.select("doc", _short_hash("text").alias("th"), "text", "rest")
+    blocks = checkpointed(_streamed(own.drop("rest").mapInArrow(_index(window), "key long, block long, doc long, place long")))
     open_blocks = blocks.where("ref_doc IS NULL").groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     texts = _packed(own)
     # A doc's row may be repeated; its windows are the same, so one row of it is enough here.
-    windows = texts.join(open_blocks, ["doc", "th"]).mapInArrow(_boundary_windows(window), "key long, block long, doc long, place long")
+    windows = texts.drop("rest").join(open_blocks, ["doc", "th"]).mapInArrow(_boundary_windows(window), "key long, block long, doc long, place long")
     single = _streamed(windows).select("doc", "th", "a", "n", "ref_doc", "ref_a")
     runs = blocks.where("ref_doc IS NOT NULL").union(single)
     runs = runs.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n", "ref_doc", "ref_a")).alias("runs"))
-    out = texts.join(runs, ["doc", "th"], "left").mapInArrow(
-        _cut(window), "doc long, th int, n_words long, n_removed long, kept string, factors array<struct<start:int,words:int,ref_doc:long,ref_start:int>>"
-    )
-    return out.select(F.when(F.col("doc") < F.lit((1 << 63) - 1), F.col("doc")).alias(id_col), "th", "n_words", "n_removed", "kept", "factors")
+    joined = texts.join(runs, ["doc", "th"], "left")
+    fields = T.StructType.fromDDL("doc long, th int, n_words long, n_removed long, kept string, factors array<struct<start:int,words:int,ref_doc:long,ref_start:int>>").fields
+    out = joined.mapInArrow(_cut(window, verbatim), T.StructType([*fields, own.schema["rest"]]))
+    return out.select(F.when(F.col("doc") < F.lit((1 << 63) - 1), F.col("doc")).alias(id_col), "th", "n_words", "n_removed", "kept", "factors", "rest")
