@@ -119,7 +119,8 @@ def train(docs: DataFrame, target_ids: DataFrame, *, vocabulary: int = 1 << 15,
     top = counts.orderBy(F.desc("times"), "word").limit(vocabulary).select("word").collect()
     known = Vocabulary(np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64)), bits)
     ids = target_ids.select(F.col(id_col).cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
-    marked = docs.select(F.col(id_col).cast("long").alias("id"), text).join(ids, F.col("id") == F.col("target_id"), "left")
+    # The same join at every size: one shuffle of the texts, whatever the number of target ids.
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), text).join(ids.hint("merge"), F.col("id") == F.col("target_id"), "left")
     marked = marked.select("text", F.col("target_id").isNotNull().alias("is_target"))
     cells = marked.mapInArrow(bigram_counts(known), "cell int, all long, target long").groupBy("cell").agg(F.sum("all").alias("all"), F.sum("target").alias("target"))
     size, v = 1 << bits, len(known.words) + 2
