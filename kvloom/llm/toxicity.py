@@ -202,34 +202,47 @@ class Model:
 def fit_words(chance: float, least_weight: float):
     """For mapInArrow over a bounded sample in one task: (text, toxic) to (word, weight); the intercept has a null word."""
 
+    def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, hash) of a slice's features, once each, and where to spell each from."""
+        of, size, h = features(w)
+        h, row = signed(h), w.row_of()[of]
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        once = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
+        return row[once], h[once], np.stack([of[order], size[order]], axis=1)[once]
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, hashes, toxic, spelled = [], [], [], {}
-        n = 0
+        """Toxic rows come first; of the others only counts of the toxic rows' features are kept."""
+        rows, hashes, spelled = [], [], {}
+        n_bad, n, names, fine = 0, 0, None, np.zeros(0)
         for batch in batches:
             for part in slices(batch):
-                w = Words(part.column("text"), NOT_ALNUM, lower=True)
-                of, size, h = features(w)
-                h, row = signed(h), w.row_of()[of]
-                label = part.column("toxic").to_numpy(zero_copy_only=False)
-                pairs = np.unique(np.stack([row, h], axis=1), axis=0) if len(w) else np.zeros((0, 2), np.int64)
-                rows.append(pairs[:, 0] + n)
-                hashes.append(pairs[:, 1])
-                toxic.append(label)
-                bad = np.flatnonzero(label[row] > 0)
-                _, one = np.unique(h[bad], return_index=True)
-                raw = w.data.tobytes()
-                for i in bad[one].tolist():
-                    a, k = w.start[of[i]], size[i]
-                    spelled.setdefault(int(h[i]), raw[a : a + k] + b"*" if k else raw[a : w.end[of[i]]])
-                n += part.num_rows
-        y = np.concatenate(toxic).astype(float) if toxic else np.zeros(0)
-        base = y.mean() if n else 0.0
+                bad = part.column("toxic").to_numpy(zero_copy_only=False) > 0
+                n += len(bad)
+                if bad.any():
+                    w = Words(part.column("text").filter(pa.array(bad)), NOT_ALNUM, lower=True)
+                    row, h, where = distinct(w)
+                    rows.append(row + n_bad)
+                    hashes.append(h)
+                    n_bad += int(bad.sum())
+                    _, one = np.unique(h, return_index=True)
+                    raw = w.data.tobytes()
+                    for i in one.tolist():
+                        a, k = int(w.start[where[i, 0]]), int(where[i, 1])
+                        spelled.setdefault(int(h[i]), raw[a : a + k] + b"*" if k else raw[a : w.end[where[i, 0]]])
+                if not bad.all() and hashes:
+                    if names is None:
+                        names = np.unique(np.concatenate(hashes))
+                        fine = np.zeros(len(names))
+                    _, h, _ = distinct(Words(part.column("text").filter(pa.array(~bad)), NOT_ALNUM, lower=True))
+                    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                    fine += np.bincount(at[names[at] == h], minlength=len(names))
+        base = n_bad / n if n else 0.0
         words: list[bytes] = []
         weights, intercept = np.zeros(0), math.log(max(base, 1e-9) / max(1 - base, 1e-9))
         if 0 < base < 1:
-            row, h = np.concatenate(rows), np.concatenate(hashes)
-            names, at = np.unique(h, return_inverse=True)
-            bad, fine = independent(row, at, len(names), y), np.bincount(at, weights=1 - y[row])
+            row, at = np.concatenate(rows), np.searchsorted(names, np.concatenate(hashes))
+            bad = independent(row, at, np.bincount(at, minlength=len(names)) + fine, n_bad, n)
             weights = np.log((bad + 0.5) / (fine + 0.5)) - intercept
             few = (weights >= least_weight) & (bad >= 2)
             for i in np.flatnonzero(few).tolist():
@@ -249,21 +262,23 @@ def tail(k: int, n: int, p: float) -> float:
     return sum(math.exp(log(i)) for i in range(k, n + 1))
 
 
-def independent(row: np.ndarray, column: np.ndarray, m: int, y: np.ndarray, seeds: int = 4) -> np.ndarray:
-    """For each column, its toxic rows, of which copies of a text count once.
+def independent(row: np.ndarray, column: np.ndarray, held: np.ndarray, n_rows: int, n_all: int, seeds: int = 4) -> np.ndarray:
+    """For each column, its toxic rows, of which copies of a text count once; held: rows of any label with the column.
 
     Rows are told apart by the least hash of their rare columns, which copies share; of several hashes the least count holds.
     """
-    n = len(y)
-    rare = np.bincount(column, minlength=m)[column] <= max(3, n // 100)
-    use = y[row] > 0
-    out = np.full(m, n)
+    m = len(held)
+    rare = held[column] <= max(3, n_all // 100)
+    out = np.full(m, n_rows)
     for seed in range(seeds):
-        value = mix(np.arange(m, dtype=np.uint64) + np.uint64((seed + 1) * BASE & (1 << 64) - 1))
-        sign = mix(np.arange(n, dtype=np.uint64)) | np.uint64(1 << 63)  # of rows without rare columns: their own
-        np.minimum.at(sign, row[rare], value[column[rare]] >> np.uint64(1))
-        pairs = np.unique(np.stack([column[use].astype(np.uint64), sign[row[use]]], axis=1), axis=0)
-        out = np.minimum(out, np.bincount(pairs[:, 0].astype(np.int64), minlength=m))
+        value = mix(np.arange(m, dtype=np.uint64) + np.uint64((seed + 1) * BASE & (1 << 64) - 1)) >> np.uint64(1)
+        sign = mix(np.arange(n_rows, dtype=np.uint64)) | np.uint64(1 << 63)  # of rows without rare columns: their own
+        np.minimum.at(sign, row[rare], value[column[rare]])
+        own = sign[row]
+        order = np.lexsort((own, column))
+        c, o = column[order], own[order]
+        new = np.concatenate(([True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])))
+        out = np.minimum(out, np.bincount(c[new], minlength=m))
     return out
 
 
@@ -279,7 +294,7 @@ def train(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # The sample's size is bounded, so its ids may be sent to every task, and its texts to one.
     sample = texts.join(F.broadcast(own), "id").select("text", "toxic")
-    found = sample.repartition(1).mapInArrow(fit_words(chance, least_weight), "word binary, weight double").collect()
+    found = sample.repartition(1).sortWithinPartitions(F.desc("toxic")).mapInArrow(fit_words(chance, least_weight), "word binary, weight double").collect()
     intercept = next((x for word, x in found if word is None), -20.0)
     words = {word.decode(errors="surrogateescape"): x for word, x in sorted((f for f in found if f[0] is not None), key=lambda f: (-f[1], f[0]))}
     return Model(words, intercept, log_model(char_model(docs, text_col), [w for w, x in words.items() if x > 1 and w.isalpha()]))
