@@ -1,8 +1,9 @@
 """Cross-entropy difference of matched n-gram models.
 
 A target and a background bigram model share one vocabulary (the most frequent words of all documents, and
-one class for all others), the same hashing of bigrams into a table of fixed size, and the same smoothing;
-they differ in their counts alone: the background's are of all documents, the target's of the target ones. A
+one class for all others), the same hashing of bigrams into a table of fixed size, the same smoothing, and the
+same size: they differ in their counts alone. The background's are of all documents, scaled to as many words as
+the target's, which are of the target documents. A
 document's score is the mean over its words of its loss under the target less that under the background.
 
 Counts cover every document; what tasks count is summed by shuffle, and grows with the input. The models that
@@ -97,19 +98,20 @@ def bigram_counts(vocabulary: Vocabulary):
 
 @dataclass
 class Model:
-    """Counts of one model over the shared vocabulary."""
+    """Counts of one model over the shared vocabulary; scale: what a count is worth."""
 
     pairs: np.ndarray
     words: np.ndarray
     contexts: np.ndarray
+    scale: float = 1.0
     smoothing: float = 50.0
 
     def bits(self, number: np.ndarray, before: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The loss of each word in bits."""
-        single = (self.words[number] + 0.5) / (self.words.sum() + 0.5 * len(self.words))
+        single = (self.scale * self.words[number] + 0.5) / (self.scale * self.words.sum() + 0.5 * len(self.words))
         # Buckets may be shared by bigrams; a context's count bounds each of its bigrams'.
-        pair = np.minimum(self.pairs[bucket], self.contexts[before])
-        return -np.log2((pair + self.smoothing * single) / (self.contexts[before] + self.smoothing))
+        pair, context = self.scale * np.minimum(self.pairs[bucket], self.contexts[before]), self.scale * self.contexts[before]
+        return -np.log2((pair + self.smoothing * single) / (context + self.smoothing))
 
 
 def train(docs: DataFrame, target_ids: DataFrame, *, vocabulary: int = 1 << 15, bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, Model, Model]:
@@ -128,7 +130,10 @@ def train(docs: DataFrame, target_ids: DataFrame, *, vocabulary: int = 1 << 15,
     table = cells.toArrow()  # at most 2**bits + 2 * vocabulary rows
     at = table.column("cell").to_numpy()
     total[0, at], total[1, at] = table.column("all").to_numpy(), table.column("target").to_numpy()
-    background, target = (Model(t[:size], t[size : size + v], t[size + v :]) for t in total)
+    # Matched: the background's counts are worth as many words as the target has, so that smoothing weighs alike.
+    sizes = total[:, size : size + v].sum(axis=1, dtype=np.float64)
+    scales = (min(1.0, sizes[1] / sizes[0]) if sizes[1] else 1.0, 1.0)
+    background, target = (Model(t[:size], t[size : size + v], t[size + v :], k) for t, k in zip(total, scales, strict=True))
     return known, target, background
 
 
