@@ -24,12 +24,13 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvloom.llm.kernel import SPACES, Sequences, Words, mix, signed, slices
+from kvloom.llm.kernel import BASE, SPACES, Sequences, Words, mix, signed, slices
 from kvloom.llm.shared import checkpointed, order_id, parts
 
 GRAM = 5
@@ -79,6 +80,31 @@ def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return at, h[at], first, last, block
 
 
+ROWS = "key long, block long, doc long, place long, ref_doc long, ref_a int"
+
+
+def _rows(key: np.ndarray, block: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Index rows, combined before they are shuffled: of equal blocks here, all but the first are copies of it already.
+
+    Such a copy is sent under a key of its own, with the place that it copies, so that a block that a third of all rows
+    hold is not gathered in one task.
+    """
+    order = np.lexsort((place, doc, block, key))
+    key, block, doc, place = (x[order] for x in (key, block, doc, place))
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))) if len(key) else np.zeros(0, bool)
+    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
+    again = (doc == doc[head]) & (place == place[head]) & ~new  # a repeated row
+    copy = ~new & ((doc != doc[head]) | (place >> 32 != place[head] >> 32))
+    own = mix(doc.astype(np.uint64) * np.uint64(BASE) + place.astype(np.uint64)).view(np.int64)
+    keep = ~again if again.any() else slice(None)
+    ref_a = (place[head] >> 32) - ((place[head] >> 28) & 15)
+    columns = [
+        pa.array(np.where(copy, own, key)[keep]), pa.array(block[keep]), pa.array(doc[keep]), pa.array(place[keep]),
+        pa.array(doc[head][keep], mask=~copy[keep]), pa.array(ref_a.astype(np.int32)[keep], mask=~copy[keep]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["key", "block", "doc", "place", "ref_doc", "ref_a"])
+
+
 def _index(window: int):
     """For mapInArrow: documents to index rows (anchor, block, doc, place)."""
 
@@ -91,7 +117,7 @@ def _index(window: int):
                 th = part.column("th").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                 doc = part.column("doc").to_numpy(zero_copy_only=False)[row]
                 place = ((at - w.first[row]) << 32) | ((at - first) << 28) | ((at - last) << 24) | th
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(block)), pa.array(doc), pa.array(place)], ["key", "block", "doc", "place"])
+                yield _rows(signed(h), signed(block), doc, place)
 
     return of_batches
 
@@ -99,6 +125,8 @@ def _index(window: int):
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over rows sorted by (key, block, doc, place): copies of earlier blocks, and blocks with factor boundaries.
 
+    Rows with a ref_doc are known to be copies.
+
     A row that is not the first of its block is a copy of the first. The first of each block is looked into
     if its key has other blocks. What is kept from one batch to the next: the first row of the key and the
     first row of the last block.
@@ -110,6 +138,8 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
         rows = np.concatenate((kept, rows))
+        known = np.concatenate((np.zeros(len(kept), bool), batch.column(4).is_valid().to_numpy(zero_copy_only=False)))
+        ref = [np.concatenate((np.zeros(len(kept), np.int64), pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False))) for k in (4, 5)]
         done = np.zeros(len(rows), bool)
         done[: len(told)] = told
         key, block, doc, place = rows.T
@@ -118,16 +148,19 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(new_block)[np.cumsum(new_block) - 1]  # the first row of each row's block
         key_of = np.cumsum(new_key) - 1
         many = np.bincount(key_of[new_block]) > 1
-        look = new_block & many[key_of] & ~done
         pos, ahead = place >> 32, (place >> 28) & 15
-        copy = ~new_block & ((doc != doc[head]) | (pos != pos[head]))
+        same = (doc == doc[head]) & (pos == pos[head])  # the first of the block, or another text of its id
+        look = same & many[key_of] & ~done
+        copy = ~same
         copy[: len(kept)] = False
+        look &= ~known
+        copy |= known
         out = np.flatnonzero(copy | look)
         a, n = pos - ahead, ((place >> 28) & 15) - ((place >> 24) & 15) + 1
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[out]), pa.array((place[out] & 0xFFFFFF).astype(np.int32)), pa.array(a[out].astype(np.int32)), pa.array(n[out].astype(np.int32)),
-                pa.array(doc[head[out]], mask=look[out]), pa.array(a[head[out]].astype(np.int32), mask=look[out]),
+                pa.array(np.where(known, ref[0], doc[head])[out], mask=look[out]), pa.array(np.where(known, ref[1], a[head])[out].astype(np.int32), mask=look[out]),
             ],
             ["doc", "th", "a", "n", "ref_doc", "ref_a"],
         )
@@ -166,8 +199,8 @@ def _boundary_windows(window: int):
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 w = Words(pa.array(_unpacked(part.column("z")), pa.large_binary()), SPACES)
                 seq = Sequences(w.hashes())
                 runs = part.column("runs")
@@ -179,10 +212,7 @@ def _boundary_windows(window: int):
                 row = w.row_of()[s]
                 th = part.column("th").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                 doc = part.column("doc").to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(seq.of(s, s + window))), pa.array(np.zeros(len(s), np.int64)), pa.array(doc), pa.array(((s - w.first[row]) << 32) | th)],
-                    ["key", "block", "doc", "place"],
-                )
+                yield _rows(signed(seq.of(s, s + window)), np.zeros(len(s), np.int64), doc, ((s - w.first[row]) << 32) | th)
 
     return of_batches
 
@@ -234,11 +264,11 @@ def dedup_substrings(
     rest = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
     own = docs.select(order_id(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     own = own.select("doc", _short_hash("text").alias("th"), "text", "rest")
-    blocks = checkpointed(_streamed(own.drop("rest").mapInArrow(_index(window), "key long, block long, doc long, place long")))
+    blocks = checkpointed(_streamed(own.drop("rest").mapInArrow(_index(window), ROWS)))
     open_blocks = blocks.where("ref_doc IS NULL").groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     texts = _packed(own)
     # A doc's row may be repeated; its windows are the same, so one row of it is enough here.
-    windows = texts.drop("rest").join(open_blocks, ["doc", "th"]).mapInArrow(_boundary_windows(window), "key long, block long, doc long, place long")
+    windows = texts.drop("rest").join(open_blocks, ["doc", "th"]).mapInArrow(_boundary_windows(window), ROWS)
     single = _streamed(windows).select("doc", "th", "a", "n", "ref_doc", "ref_a")
     runs = blocks.where("ref_doc IS NOT NULL").union(single)
     runs = runs.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n", "ref_doc", "ref_a")).alias("runs"))
