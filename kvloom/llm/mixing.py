@@ -19,6 +19,7 @@ from kvloom.llm.shared import checkpointed, parts
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
+SALTS = 64
 
 
 def sainte_lague(table: DataFrame, group: list[str], value: str, seats: str, order: list[str], out: str) -> DataFrame:
@@ -91,7 +92,10 @@ def mix(
     sources = sources.withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long"))
     # A hot source is dealt to as many shards as its size asks for; a row's shard and place follow from a seeded hash.
     key = F.xxhash64(F.lit(seed), "id", "size")
-    placed = rows.withColumn("h", key).join(sources, "source_key")
+    # The few sources are repeated for each salt, so that the rows of a hot one meet it in many tasks.
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("h", key).withColumn("salt", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(SALTS)).cast("int"))
+    placed = placed.join(salted, ["source_key", "salt"])
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "h"), F.greatest("shards", F.lit(1))))
     placed = placed.repartition(parts(docs.sparkSession), "source_key", "shard")  # else a hot source stays in one task
     shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
