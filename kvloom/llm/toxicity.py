@@ -42,7 +42,7 @@ STANDS_FOR = {
     "ï": "i", "ò": "o", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ç": "c", "ñ": "n",
     "а": "a", "е": "e", "і": "i", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
 }
-SEPARATORS = " .-_*~'­​‌‍⁠"
+SEPARATORS = " .-_*~'\u00ad\u200b\u200c\u200d\u2060"
 SYMBOL = r"0-9@$!|+(<€£¡*#%"
 #: Four or more characters that stand apart; else a place that makes its whole token suspicious: a symbol before a
 #: letter, final digits, a joint between letters, a letter three times in a row.
