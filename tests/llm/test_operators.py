@@ -262,6 +262,28 @@ def test_near_copies(spark, docs, no_docs, texts):
     assert similar.keep_one(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_copies_at_the_threshold(spark, block):
+    """Families of texts whose similarities lie around 0.8, so that links of forests fail where others hold."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(6):
+        base = [f"w{family}x{i}" for i in range(80)]
+        for _ in range(25):
+            words = list(base)
+            for i in rng.choice(80, rng.integers(0, 4), replace=False):
+                words[i] = f"z{rng.integers(0, 50)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    find = joined((a, b) for a in range(len(sets)) for b in range(a + 1) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    first: dict = {}
+    for n in range(len(sets)):
+        first.setdefault(find(n), n)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar.near_copies(df, block=block).collect()}
+    assert got == {n: first[find(n)] for n in range(len(sets))}
+
+
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     big, other = "ä" * 80, "x" * 150
