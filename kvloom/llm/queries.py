@@ -54,7 +54,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cross-entropy difference of every document; the target is the documents labelled good and not toxic."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where(~toxicity.held_out()).where("quality = 1 AND toxic = 0")
-    return language.score(docs, *language.train(docs, good))
+    return language.cross_entropy_difference(docs, good)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,49 @@ def test_language_scores(spark, docs, no_docs):
     assert language.score(no_docs, *language.train(no_docs, ids)).count() == 0
 
 
+def exact_scores(texts, target):
+    """Scores by (id, text) from plain counts; target: ids."""
+    split = [(i, re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())) for i, t in texts]
+    models = []
+    for some in ([w for i, w in split if i in target], [w for _, w in split]):
+        models.append((Counter(x for w in some for x in w), Counter(x for w in some for x in [None, *w][:-1] if w), Counter(x for w in some for x in zip([None, *w], w))))
+    sizes = [sum(m[0].values()) for m in models]
+    vocabulary, scales = len(models[1][0]), (1.0, min(1.0, sizes[0] / sizes[1]) if sizes[0] else 1.0)
+
+    def loss(m, n, k, a, b):
+        single = (k * m[0][b] + 0.5) / (k * n + 0.5 * vocabulary)
+        return -math.log2((k * m[2][a, b] + 50 * single) / (k * m[1][a] + 50))
+
+    out = []
+    for i, w in split:
+        bits = [sum(loss(m, n, k, a, b) for a, b in zip([None, *w], w)) / max(1, len(w)) for m, n, k in zip(models, sizes, scales, strict=True)]
+        out.append((i, len(w), bits[0] - bits[1]))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 500])
+def test_language_scores_by_exact_counts(spark, docs, no_docs, texts, block_bytes):
+    ids = spark.createDataFrame([(1,), (2,), (10,), (None,), (1,)], "doc_id long")
+    # More words than 2**15, each of them rare: none may be thrown together with others.
+    rare = [(100 + k, " ".join(f"{'uv'[k % 2]}{k}x{j}" for j in range(1000)) + " ein ende") for k in range(40)]
+    more = docs.select("doc_id", "text").unionAll(spark.createDataFrame(rare, "doc_id long, text string"))
+    for target in (ids, ids.unionAll(spark.createDataFrame([(100 + k,) for k in range(0, 40, 2)], "doc_id long")), ids.where("doc_id < 0")):
+        got = language.cross_entropy_difference(more, target, block_bytes=block_bytes).collect()
+        want = exact_scores(texts + rare, {r[0] for r in target.collect()} - {None})
+        order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+        for g, w in zip(sorted(((r.doc_id, r.n_words, r.score) for r in got), key=order), sorted(want, key=order), strict=True):
+            assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9)
+    assert language.cross_entropy_difference(no_docs, ids).count() == 0
+
+
+def test_language_query_counts_every_word(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in labels.where(~toxicity.held_out()).where("quality = 1 AND toxic = 0").collect()}
+    want = {i: x for i, _, x in exact_scores([(r.doc_id, r.text) for r in docs.collect()], good)}
+    got = {r.doc_id: r.score for r in queries.op5_lm_scoring(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+
+
 def test_substring_dedup(spark, docs, no_docs, texts):
     seen, want = {}, []
     for i, t in sorted(texts, key=lambda x: LAST if x[0] is None else x[0]):
