@@ -1,8 +1,9 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Suspicious spans (letters mixed with digits or symbols, letters repeated three times or more, letters that
-stand apart) become lattices of what each character may stand for: itself, the letters it is used for, or
-nothing (a separator, a repetition). Viterbi decoding finds the likeliest reading under a trigram character
+Tokens that cannot be read plainly, and runs of pieces whatever parts them, become lattices of what each
+character may stand for: itself, the letters it is used for, or nothing (a separator, a repetition). Only those
+are left out of which no reading holds a word of the classifier, where a run starts with a piece and its symbols
+are all letters or all separators (within a token they may be both). Viterbi decoding finds the likeliest reading under a trigram character
 model, trained on the letters of all documents and on the words of the classifier. The restored text is then
 scored: the log odds of the words, and beginnings of words, that toxic texts hold more often than chance
 allows (copies of a text count once), added to those of the labels.
@@ -42,14 +43,32 @@ STANDS_FOR = {
     "ï": "i", "ò": "o", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ç": "c", "ñ": "n",
     "а": "a", "е": "e", "і": "i", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
 }
-SEPARATORS = " .-_*~'\u00ad\u200b\u200c\u200d\u2060"
 SYMBOL = r"0-9@$!|+(<€£¡*#%"
-#: Four or more characters that stand apart; else a place that makes its whole token suspicious: a symbol before a
+#: For restored texts only; scoring looks at all tokens and runs. Four or more characters that stand apart; else a place that makes its whole token suspicious: a symbol before a
 #: letter, final digits, a joint between letters, a letter three times in a row.
 SUSPICIOUS = re.compile(
     rf"(?P<apart>(?<![^\W\d_])(?:[^\W\d_]|[{SYMBOL}])(?:[ .\-_*~\u200b\u00ad]{{1,2}}(?:[^\W\d_]|[{SYMBOL}])(?![^\W\d_])){{3,}})"
     rf"|[{SYMBOL}](?=[^\W\d_])|(?<=[^\W\d_])[0-9]+(?!\w)|(?<=[^\W\d_])[\-_*~\u00ad\u200b-\u200d\u2060](?=[^\W\d_])|([^\W\d_])\2\2"
 )
+#: Letters that one character may stand for count as one in a skeleton.
+CLASS = {c: "a" for c in "aeioul"} | {"g": "b"}
+
+
+class Skeleton(dict):
+    """For str.translate: a letter's class; nothing for what may be a separator (symbols: or what they stand for)."""
+
+    def __init__(self, symbols: bool):
+        super().__init__()
+        self.symbols = symbols
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        plain = STANDS_FOR.get(c, c)[0] if self.symbols or c.isalnum() else c
+        self[point] = CLASS.get(plain, plain) if plain.isalnum() else ""
+        return self[point]
+
+
+MARKS = re.compile("[" + re.escape("".join(c for c in STANDS_FOR if not c.isalnum())) + "]")
 BLANK = re.compile(r"\s|\Z")
 LETTERS = 28  # a boundary, a-z, any other letter
 CODE = np.zeros(256, np.int64)
@@ -109,17 +128,24 @@ class Decoder:
 
     def __init__(self, logs: np.ndarray):
         self.logs = [[row.tolist() for row in plane] for plane in logs]
-        self.known: dict[tuple[str, bool], str] = {}
+        self.known: dict[tuple[str, bool, str], str] = {}
 
-    def __call__(self, span: str, apart: bool) -> str:
-        """The likeliest reading of a span; apart: its blanks may be nothing."""
-        if (span, apart) not in self.known:
+    def __call__(self, span: str, apart: bool, symbols: str = "") -> str:
+        """The likeliest reading of a span; apart: its blanks may be nothing; symbols: all are letters, or may be nothing."""
+        if (span, apart, symbols) not in self.known:
             if len(self.known) >= 1 << 16:
                 self.known.clear()
-            self.known[span, apart] = self.decode(span, apart)
-        return self.known[span, apart]
+            self.known[span, apart, symbols] = self.decode(span, apart, symbols)
+        return self.known[span, apart, symbols]
+
+    def readings(self, span: str, apart: bool) -> set[str]:
+        """The likeliest reading, and those with the symbols as letters, as separators and as either."""
+        out = {self(span, apart)}
+        if MARKS.search(span):
+            out |= {self(span, apart, "letters"), self(MARKS.sub("-", span), apart), self(span, apart, "nothing")}
+        return out
 
-    def decode(self, span: str, apart: bool) -> str:
+    def decode(self, span: str, apart: bool, symbols: str = "") -> str:
         """States are the last two letters; each keeps its best score and a link to how it came about."""
         logs = self.logs
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
@@ -127,10 +153,12 @@ class Decoder:
             choices = [(x, SYMBOL_COST) for x in STANDS_FOR.get(ch, "")]
             if ch.isalpha():
                 choices.append((ch, 0.0))
-            drop = ch in SEPARATORS and (apart or ch != " ")
+            drop = not ch.isalnum() and (apart or not ch.isspace()) and (symbols == "nothing" or ch not in STANDS_FOR or ch == "*")
+            if symbols == "letters" and ch in STANDS_FOR:
+                drop = False
             if drop:
                 choices.append(("", DROP_COST))
-            if not ch.isalpha():  # punctuation or a number, less likely between letters
+            if not ch.isalpha() and not (symbols == "letters" and ch in STANDS_FOR):  # punctuation or a number, less likely between letters
                 inner = 0 < i < len(span) - 1 and span[i - 1].isalnum() and span[i + 1].isalnum()
                 choices.append((" ", INNER_COST if inner or ch.isdigit() else EDGE_COST))
             following: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
@@ -300,6 +328,17 @@ def train(
     return Model(words, intercept, log_model(char_model(docs, text_col), [w for w, x in words.items() if x > 1 and w.isalpha()]))
 
 
+#: What each letter may be written as.
+WRITTEN = {c: "".join(sorted({c, *(k for k, v in STANDS_FOR.items() if c in v)})) for c in "abcdefghijklmnopqrstuvwxyz"}
+DOUBLED = re.compile(r"(.)\1")
+
+
+def pieces(word: str, beginning: bool) -> re.Pattern:
+    """Finds a word, or tokens that it begins, written in any way and parted by anything; from the start of a piece."""
+    letters = [f"[{re.escape(WRITTEN.get(c, c))}]+" for c in word]
+    return re.compile(r"(?<![^\W_])" + r"[\W_]*".join(letters) + (r"[^\W_]*" if beginning else r"(?![^\W_])"))
+
+
 def squeezed(text: str) -> str:
     """The text with each run of a character as one."""
     return re.sub(r"(.)\1+", r"\1", text)
@@ -312,6 +351,17 @@ class Scorer:
         self.model, self.decode = model, Decoder(model.logs)
         self.plain = {squeezed(w): w for w in reversed(model.words) if w[-1] != "*"}
         self.long = [(squeezed(w), w) for w, x in model.words.items() if x > 1 and w[-1] != "*" and len(squeezed(w)) >= 5]
+        self.letters, self.parted = Skeleton(True), Skeleton(False)
+        self.within, self.across = {}, {}  # by skeleton: whether a word has it, what finds the words in runs of pieces
+        for w in model.words:
+            own = w.removesuffix("*")
+            if bone := squeezed(own.translate(self.letters)):
+                self.within[bone] = True
+                self.across.setdefault(bone, []).append(pieces(own, w[-1] == "*"))
+        bones = sorted(self.within, key=len)
+        self.least = [b for i, b in enumerate(bones) if not any(a in b for a in bones[:i])]
+        self.plainly: set[str] = set()  # tokens without a hidden word
+        self.hides: dict[str, set[str]] = {}
 
     def restored(self, text: str) -> Iterator[tuple[int, int, str]]:
         """(start, end, reading) of the suspicious spans of a lower-case text."""
@@ -332,17 +382,63 @@ class Scorer:
             at = b
         return "".join([*out, text[at:]])
 
+    def skeletons(self, text: str) -> set[str]:
+        """The text's letters by classes, with symbols as letters and as separators."""
+        return {squeezed(text.translate(table)) for table in (self.letters, self.parted)}
+
+    def named(self, span: str, apart: bool) -> set[str]:
+        """The model's words in a span's readings; doubled letters count as one there."""
+        found: set[str] = set()
+        for reading in self.decode.readings(span, apart) - {span}:
+            plain = squeezed(reading)
+            for w in re.findall(r"[^\W_]+", plain):
+                whole = self.plain.get(w, w)
+                raw = whole.encode(errors="surrogateescape")
+                ways = [whole, *(raw[:k].decode(errors="surrogateescape") + "*" for k in PREFIXES if len(raw) > k)]
+                found.update(x for x in ways if x in self.model.place)
+            found.update(w for short, w in self.long if short in plain)
+        return found
+
+    def of_token(self, token: str) -> set[str]:
+        """What a token hides."""
+        if token.isascii() and token.isalpha() and not DOUBLED.search(token):
+            return set()
+        if not any(bone in own for own in self.skeletons(token) | self.mixed(token) for bone in self.least):
+            return set()
+        return self.named(token, False)
+
+    def mixed(self, token: str) -> set[str]:
+        """More skeletons of a token with several symbols, some of which may be separators; without a letter's class where they are many."""
+        at = [i for i, c in enumerate(token) if c in STANDS_FOR and not c.isalnum()]
+        if len(at) < 2:
+            return set()
+        if len(at) > 6:
+            return set(self.least)  # not told apart: the decoder tells
+        ways = range(1, (1 << len(at)) - 1)
+        return {squeezed("".join(c for i, c in enumerate(token) if i not in at or way >> at.index(i) & 1).translate(self.letters)) for way in ways}
+
     def hidden(self, text: str) -> set[str]:
-        """The model's words that only decoding shows; doubled letters count as one there."""
+        """The model's words that only decoding shows."""
         found: set[str] = set()
-        for a, b, reading in self.restored(text):
-            if reading != text[a:b]:
-                plain = squeezed(reading)
-                for w in re.findall(r"[^\W_]+", plain):
-                    whole = self.plain.get(w, w)
-                    ways = [whole, *(whole.encode()[:k].decode(errors="surrogateescape") + "*" for k in PREFIXES if len(whole.encode()) > k)]
-                    found.update(x for x in ways if x in self.model.place)
-                found.update(w for short, w in self.long if short in plain)
+        for token in set(text.split()) - self.plainly:
+            if token not in self.hides:
+                if len(self.plainly) + len(self.hides) >= 1 << 19:
+                    self.plainly, self.hides = set(), {}
+                words = self.of_token(token)
+                if not words:
+                    self.plainly.add(token)
+                    continue
+                self.hides[token] = words
+            found |= self.hides[token]
+        for own in self.skeletons(text):
+            if any(bone in own for bone in self.least):
+                for bone, patterns in self.across.items():
+                    if bone in own:
+                        for pattern in patterns:
+                            for m in pattern.finditer(text):
+                                span = m.group()
+                                if any(c.isspace() for c in span):
+                                    found |= self.named(span, True)
         return found
 
     def __call__(self, column: pa.Array) -> np.ndarray:

@@ -65,6 +65,20 @@ def test_decoding_restores_obfuscated_words():
     assert scorer(pa.array(["a clean text", None, ""])).max() < 0.2
 
 
+@pytest.mark.parametrize(
+    "hidden, word",
+    [(x, "idiot") for x in ("idio+", "iiddiioott", "i   d   i   o   t", "id io t", "i/d/i/o/t", "i,d,i,o,t", "i\nd\ni\no\nt", "i+d+i+o+t", "1d!ot", "i / d / 1 / 0 / t", "id\u200biot")]
+    + [(x, "stupid") for x in ("ssttuuppiidd", "stu pid", "s t u\np i d", "$tupid")]
+    + [(x, "moron") for x in ("mo ron", "mo.ron", "m o\tr o n", "m0 r0n")],
+)
+def test_decoding_restores_every_form(hidden, word):
+    words = {"idiot": 5.0, "stupid": 5.0, "moron": 5.0}
+    scorer = toxicity.Scorer(toxicity.Model(words, -2.0, toxicity.log_model(np.zeros(toxicity.LETTERS**3), list(words))))
+    assert scorer.hidden(f"you {hidden} now") == {word}
+    assert scorer(pa.array([f"you {hidden} now"]))[0] > 0.9
+    assert not scorer.hidden("a letter to all good people (see 12/3), more on that! did i, or to")
+
+
 def test_toxicity_rows_and_accuracy(spark, docs, no_docs):
     model = toxicity.Model({"idiot": 5.0}, -2.0, toxicity.log_model(np.zeros(toxicity.LETTERS**3), ["idiot"]))
     got = toxicity.score(docs, model).collect()
