@@ -5,13 +5,17 @@ once, by an equality join on the two block numbers. In a pair, vectors are quant
 their own; the integer product of two tiles then gives every inner product with a proven error bound. A pair
 survives if its upper bound reaches the k-th best lower bound of its query; survivors alone are computed in
 double precision on the original vectors, and go to the query's heap. The heaps of all column blocks are
-merged at the end. So the result is exact.
+merged at the end. So the result is exact, and does not depend on how rows are dealt.
+
+Vectors of floats are shuffled as floats. A vector is sent once to each row block and a query once to each
+column block; blocks hold as many rows as `block_bytes` allows, so that copies are few.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, take
-no part. Vectors of another length than the query's are no candidates. Rows that share an id count as the
-same vector for "the query's own" and a repeated query is answered once. Ties go to the smaller id; of many
-equal vectors in a tile only those with the k + 1 smallest ids can be among the nearest, and others are not
-computed. An empty table gives an empty result.
+no part. Vectors of another length than the query's are no candidates. Every row is a candidate of its own,
+repeated rows and repeated ids too, but for the rows with the query's id. Rows that share id and vector are one
+query; an id with several vectors is a query for each. Ties go to the smaller id; of many equal vectors in a
+tile no more than the first k of an id, and 2 k in all, are computed: at least k of those are of other ids
+than the query's. An empty table gives an empty result. Vectors of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,15 +24,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kvloom.llm.shared import checkpointed
+from kvloom.llm.shared import checkpointed, parts
 
 TILE = 2048
+#: Rows of a block, whatever their bytes: no more than this many.
+MOST_ROWS = 1 << 16
+HEAP = "query_id long, q long, vec_id long, score double"
 
 
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part, once each."""
-    v = F.col(vector_col).cast("array<double>")
+    """(id, v) of the rows that take part; v has floats or doubles."""
+    kind = embeddings.schema[vector_col].dataType
+    exact = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
+    v = F.col(vector_col) if exact else F.col(vector_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     return embeddings.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
 
@@ -76,6 +86,18 @@ def _merge(qi: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> np.nda
     return order[rank < k]
 
 
+def _few(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """The rows that may be among the k nearest of some query: of equal vectors the first k of an id, and of these the first 2 k."""
+    _, same = np.unique(vectors, axis=0, return_inverse=True)
+    by = np.lexsort((ids, same.ravel()))
+    group, own = same.ravel()[by], ids[by]
+    at = np.arange(len(by))
+    new = np.concatenate(([True], group[1:] != group[:-1]))
+    new_id = new | np.concatenate(([True], own[1:] != own[:-1]))
+    by, group = by[at - np.maximum.accumulate(np.where(new_id, at, 0)) < k], group[at - np.maximum.accumulate(np.where(new_id, at, 0)) < k]
+    return np.sort(by[np.arange(len(by)) - np.searchsorted(group, group) < 2 * k])
+
+
 def _pair(k: int):
     """For applyInArrow: the heaps of a row block over one column block."""
 
@@ -84,24 +106,15 @@ def _pair(k: int):
         ids = table.column("id").to_numpy()
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         v = flat.reshape(len(ids), -1)
-        qid, first = np.unique(ids[is_query], return_index=True)
-        q = v[is_query][first]
+        qid, name, q = ids[is_query], table.column("q").to_numpy()[is_query], v[is_query].astype(np.float64)
         cid, c = ids[~is_query], v[~is_query]
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        order = np.argsort(cid, kind="stable")
-        cid, c = cid[order], c[order]
-        new = np.concatenate(([True], cid[1:] != cid[:-1])) if len(cid) else np.zeros(0, bool)
-        cid, c = cid[new], c[new]  # repeated rows of an id
         if len(cid):
-            # Equal vectors: the k + 1 smallest ids are enough, as one of them may be the query's own.
-            _, same = np.unique(c, axis=0, return_inverse=True)
-            by = np.argsort(same, kind="stable")
-            place = np.arange(len(by)) - np.searchsorted(same[by], same[by])
-            few = np.sort(by[place <= k])
+            few = _few(cid, c, k)
             cid, c = cid[few], c[few]
         for qa in range(0, len(qid), TILE):
             for at in range(0, len(cid), TILE):
-                qs, cs, ci = q[qa : qa + TILE], c[at : at + TILE], cid[at : at + TILE]
+                qs, cs, ci = q[qa : qa + TILE], c[at : at + TILE].astype(np.float64), cid[at : at + TILE]
                 floor = np.full(len(qs), -np.inf)
                 here = (best[0] >= qa) & (best[0] < qa + len(qs))
                 held = np.bincount(best[0][here] - qa, minlength=len(qs))
@@ -113,24 +126,32 @@ def _pair(k: int):
                 best = tuple(np.concatenate(x) for x in zip(best, (r + qa, ci[s], score), strict=True))
                 top = _merge(*best, k)
                 best = tuple(x[top] for x in best)
-        return pa.table({"query_id": qid[best[0]] if len(best[0]) else np.zeros(0, np.int64), "vec_id": best[1], "score": best[2]})
+        return pa.table({"query_id": qid[best[0]], "q": name[best[0]], "vec_id": best[1], "score": best[2]})
 
     return of
 
 
 def search(
-    embeddings: DataFrame, is_query: Column, *, k: int = 20, row_block: int = 2048, column_block: int = 8192,
+    embeddings: DataFrame, is_query: Column, *, k: int = 20, block_bytes: int = 64 << 20, row_block: int | None = None, column_block: int | None = None,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of each query among all other vectors, by inner product."""
-    rows = checkpointed(usable(embeddings, id_col, vector_col).withColumn("is_query", is_query).withColumn("dim", F.size("v")))
-    n, nq = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    columns, lines = max(1, -(-n // column_block)), max(1, -(-nq // row_block))
-    column = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(columns)).cast("int")
-    line = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(lines)).cast("int")
+    """(query_id, rank, vec_id, score): the k nearest of each query among all other vectors, by inner product.
+
+    row_block and column_block are rows of a block; by default what block_bytes holds, and fewer where that leaves tasks idle.
+    """
+    # The row number deals rows of one id, or equal rows, to many blocks; it is fixed by the checkpoint.
+    rows = usable(embeddings, id_col, vector_col).withColumn("is_query", is_query).withColumn("dim", F.size("v")).withColumn("n", F.monotonically_increasing_id())
+    rows = checkpointed(rows)
+    queries = checkpointed(rows.where("is_query").select("dim", "id", "v").distinct())
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    most = max(TILE // 2, min(MOST_ROWS, block_bytes // (8 * dim)))
+    spread = max(4 * TILE, -(-n // parts(embeddings.sparkSession)))
+    columns, lines = max(1, -(-n // (column_block or min(most, spread)))), max(1, -(-queries.count() // (row_block or most)))
+    column = F.pmod(F.xxhash64("n"), F.lit(columns)).cast("int")
+    line = F.pmod(F.xxhash64("id", "v"), F.lit(lines)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.where("is_query").select("dim", line.alias("i"), each(columns).alias("j"), F.lit(True).alias("is_query"), "id", "v")
-    right = rows.select("dim", each(lines).alias("i"), column.alias("j"), F.lit(False).alias("is_query"), "id", "v")
-    heaps = left.union(right).groupBy("dim", "i", "j").applyInArrow(_pair(k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    left = queries.select("dim", line.alias("i"), each(columns).alias("j"), F.lit(True).alias("is_query"), "id", F.xxhash64("v").alias("q"), "v")
+    right = rows.select("dim", each(lines).alias("i"), column.alias("j"), F.lit(False).alias("is_query"), "id", F.lit(0).cast("long").alias("q"), "v")
+    heaps = left.union(right).groupBy("dim", "i", "j").applyInArrow(_pair(k), HEAP)
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return heaps.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id"), "score")

@@ -5,13 +5,14 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kvloom.llm import decontaminate, language, mixing, nearest, quality, queries, similar, simhash, substring, toxicity, urlfilter, warc
+from kvloom.llm import decontaminate, language, mixing, nearest, oracles, quality, queries, similar, simhash, substring, toxicity, urlfilter, warc
 from kvloom.llm.components import components
 from kvloom.llm.kernel import SPACES, Words
 
@@ -119,6 +120,61 @@ def test_mixing(spark, docs, no_docs, texts):
     assert mixing.mix(no_docs).count() == 0
 
 
+def taken_words(rows, targets, block, seed_order):
+    """Plain Python of what a mix takes of one source that is one shard: rows (id, size) in their order, the words owed, blocks in theirs."""
+    total = sum(n for _, n in rows)
+    passes, rest = divmod(targets, total)
+    lines, at = [], 0
+    given = {}
+    for b in seed_order(-(-total // block)):
+        give = min(rest, block, total - b * block)
+        given[b] = give
+        rest -= give
+    for i, n in rows:
+        extra = sum(1 for w in range(at, at + n) if w % block < given.get(w // block, 0))
+        lines.append((i, passes * n + extra))
+        at += n
+    return lines
+
+
+def test_mixing_takes_what_plain_python_takes(spark):
+    """The words of each document, from seeded orders that Spark's hash gives, in one shard a source."""
+    rng = np.random.default_rng(4)
+    table = [(i, f"s{rng.integers(0, 4)}", " ".join("w" * int(rng.integers(0, 300)))) for i in range(120)]
+    df = spark.createDataFrame(table, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix(df, seed=9).collect()}
+    h = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(9), "doc_id", F.size(F.filter(F.split("text", " "), lambda x: x != "")).cast("long"), F.lit(0).cast("long")).alias("h")).collect()}
+    for source in ("s0", "s1", "s2", "s3"):
+        own = sorted(((h[i], i, len(t.split())) for i, s, t in table if s == source and t.split()))
+        owed = sum(got[i].taken for _, i, _ in own)
+        order = lambda n, s=source: [r.b for r in spark.range(n).select(F.col("id").alias("b"), F.xxhash64(F.lit(9), F.lit("0" + s), F.lit(0).cast("long"), "id").alias("k")).orderBy("k").collect()]
+        assert [(i, got[i].taken) for _, i, _ in own] == taken_words([(i, n) for _, i, n in own], owed, 64, order)
+
+
+@pytest.mark.parametrize("sizes", [{"a": [5], "b": [5], "c": [5], "d": [5]}, {"a": [100], "b": [9, 30, 900], "c": [1, 1, 1], "é": [40] * 50}, {"x": [3], "y": [200_000]}, {None: [70] * 40, "a": [1], "b": [7, 0, 0]}])
+def test_mixing_takes_near_the_target_of_every_source(spark, sizes):
+    rows = [(i, s, " ".join("w" * n)) for i, (s, n) in enumerate((s, n) for s, all_of in sizes.items() for n in all_of)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for shard_words in (1 << 19, 500):
+        taken, target = Counter(), {}
+        source = {i: s for i, s, _ in rows}
+        for r in mixing.mix(df, shard_words=shard_words).collect():
+            assert 0 <= r.taken <= 2 * r["size"]
+            taken[source[r.doc_id]] += r.taken
+            target[source[r.doc_id]] = r.target
+        assert all(abs(taken[s] - t) <= max(1.0, 0.01 * t) for s, t in target.items()), (taken, target)
+        assert abs(sum(taken.values()) - 1.5 * sum(map(sum, sizes.values()))) <= len(sizes) + 1
+
+
+def test_mixing_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    df = spark.createDataFrame([(None, "a b c", "s")] * 100 + [(1, "x", "t")] * 3 + [(None, None, "s")] * 5, "doc_id long, text string, source string")
+    for shard_words in (1 << 19, 40):
+        got = mixing.mix(df, shard_words=shard_words).collect()
+        assert len(got) == 108 and abs(sum(r.taken for r in got if r["size"] == 3) - 449) <= 2
+        assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5), shard_words=shard_words).collect()))
+
+
 @pytest.mark.parametrize("values, seats", [([5, 3, 1], 9), ([100, 1, 1, 1, 1, 1], 3), ([0, 7, 7], 5), ([1, 1, 1], 0), ([10**9, 3, 2], 1000)])
 def test_sainte_lague_by_highest_quotients(spark, values, seats):
     t = spark.createDataFrame([(0, i, v, seats) for i, v in enumerate(values)], "g int, i int, v long, n long")
@@ -380,6 +436,22 @@ def test_nearest_neighbours(spark):
     assert nearest.search(table.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_nearest_neighbours_keeps_repeated_ids(spark, flip):
+    """Against the query's own SQL, on a table with repeated ids, rows and queries, and groups of equal vectors."""
+    rng = np.random.default_rng(2)
+    rows = [(1, [1.0, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [2.0, 0.0])]
+    rows += [(40, [3.0, 1.0])] * 30 + [(int(i), [3.0, 1.0]) for i in rng.integers(0, 90, 80)] + [(int(i), rng.normal(size=2).tolist()) for i in rng.integers(0, 200, 300)]
+    table = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
+    con = duckdb.connect()
+    con.register("embeddings", table)
+    want = sorted(map(tuple, con.sql(oracles.OP9).select("query_id, rank, vec_id, score").fetchall()))
+    df = spark.createDataFrame(rows[::-1] if flip else rows, "vec_id long, embedding array<float>").repartition(3)
+    for blocks in ({}, {"row_block": 3, "column_block": 50}):
+        got = nearest.search(df, F.col("id") % 20 == 0, **blocks).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 def test_decontamination(spark, docs, no_docs, texts):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     items = [(1, " ".join(f"wort{i}" for i in range(20, 45))), (10, "Wort3 wort4"), (2, "EIN zwei"), (3, ""), (4, None), (None, "you"), (5, " ".join(f"wort{i}" for i in range(100, 110))), (5, "x x x x x x x x x x x")]
