@@ -126,25 +126,29 @@ class Words:
         return mix(out + length.astype(np.uint64) * np.uint64(BASE_INVERSE))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Odd multiplier of a second word-sequence hash, independent of the first.
+OTHER_BASE = 0xD1342543DE82EF95
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            p = np.full(size, base, np.uint64)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i below n."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size, both = max(n, 1 << 16), []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, np.uint64)
             p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            both.append(np.multiply.accumulate(p))
+        _POWERS[base] = (both[0], both[1])
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
 
 
 class Sequences:
     """Hashes of any word ranges [a, b) of a slice, from prefix sums."""
 
-    def __init__(self, word_hashes: np.ndarray):
-        up, self.down = _powers(len(word_hashes) + 1)
+    def __init__(self, word_hashes: np.ndarray, base: int = BASE):
+        up, self.down = _powers(len(word_hashes) + 1, base)
         self.sums = np.zeros(len(word_hashes) + 1, np.uint64)
         np.cumsum(word_hashes * up[:-1], out=self.sums[1:])
 
