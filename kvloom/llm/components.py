@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.shared import checkpointed
+from kvloom.llm.shared import checkpointed, joined_by
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node that is reachable.
 
     Nothing but two counts a round reaches the driver. Each round's edges are checkpointed in the shared
-    folder. A star's centre is found by aggregation and joined back, so that a node with very many
-    neighbours is never gathered in one place. Null nodes and loops are ignored; no edges, no rows.
+    folder. A star's centre is found by aggregation and joined back; nodes with more than a thousandth of all
+    edges are joined by broadcast, so that none is gathered in one place. Null nodes and loops are ignored; no edges, no rows.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, n = None, edges.count()
     for _ in range(max_rounds):
         # Large star: each node's larger neighbours are linked with its smallest neighbour (or itself).
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = joined_by(both, checkpointed(least), "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpointed(large.distinct())
         # Small star: each node's smaller neighbours, and itself, are linked with the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = joined_by(large, least, "a", "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

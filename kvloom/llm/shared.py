@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 #: Order value of a row without an id: after every real id.
 LAST_ID = (1 << 63) - 1
+#: A key is hot if it has more than one row in so many.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may do without, with a folder of its own."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kvloom-shared-")
     spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
@@ -43,3 +47,15 @@ def parts(spark: SparkSession, at_least: int = 1) -> int:
 def order_id(name: str = "doc_id") -> Column:
     """The id as an order value; null ids come last."""
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """left joined with right, which has one row a key, and `rows`: how many of left's `total` rows have the key.
+
+    Keys of more than one row in HOT_SHARE are fewer than HOT_SHARE, so they may be sent to every task; the rest is joined by the
+    shuffle, where no key is a hot one. Keys without a row in right are left out; null keys too.
+    """
+    least = total // HOT_SHARE
+    hot = F.broadcast(right.where(F.col(rows) > least).drop(rows))  # fewer than HOT_SHARE rows
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) <= least).drop(rows), key)
+    return left.join(hot, key).unionByName(cold)

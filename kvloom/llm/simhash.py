@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.llm.components import components
-from kvloom.llm.shared import checkpointed, parts
+from kvloom.llm.shared import checkpointed, joined_by, parts
 
 SEED = 42
 
@@ -220,11 +220,13 @@ def near_duplicates(
 ) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (the smallest id reachable over links) of every row."""
     marked = checkpointed(fingerprints(docs, shingle_words, id_col, text_col))
-    classes = marked.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
     found = checkpointed(components(links(classes.select("fp"), max_distance, block)))
-    named = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    named = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rows", "first", F.coalesce("component", "fp").alias("component"))
+    named = checkpointed(named)
+    least = checkpointed(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    n_rows, n_classes = classes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    named = checkpointed(joined_by(named, least, "component", "n", n_classes).select("fp", "rows", "component_id"))
+    return joined_by(marked, named, "fp", "rows", n_rows).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -6,8 +6,8 @@ range; each range is one file of compressed blocks, followed by its directory: o
 block with the block's place, and the block's first key. The table of ranges is as short as the number of files.
 
 Reading: a lookup finds a key's range, then its block by binary search in the file's directory (a few
-seeks, whatever its size), decompresses that one block, and then reads the record by its byte range.
-Lookups are sorted by key first, so that neighbours share a block.
+seeks, whatever its size) and decompresses that one block. Lookups are sorted by key first, so that neighbours
+share a block. The places that are found are then sorted by file and offset, and records read by byte ranges.
 
 Records: of records with equal payloads of at least `least_bytes` bytes, the one with the smallest id is the
 response and others revisit it; smaller ones are responses. Rows: null html is an empty payload, a null url
@@ -27,17 +27,28 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm.shared import checkpointed, fresh_dir, order_id, parts
+from kvloom.llm import bloom
+from kvloom.llm.shared import HOT_SHARE, checkpointed, fresh_dir, order_id, parts
 
 BLOCK_LINES = 1000
 ENTRY = "<QIQI"  # of the directory: block offset and length, key offset and length
 TAIL = "<QQ"  # directory offset, number of blocks
+#: Records are read together if no more than GAP bytes lie between them, READ bytes at a time.
+GAP, READ = 1 << 16, 4 << 20
+#: A file's records are dealt to readers in stretches of so many bytes.
+STRETCH = 64 << 20
+PLACE = pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+FOUND = pa.schema(
+    [("key", pa.string()), ("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("payload_length", pa.int64()), ("payload", pa.binary())]
+)
 CAPTURE = "key string, id long, file string, offset long, length long, digest string, record_type string, refers_to long"
 
 
@@ -213,6 +224,16 @@ class IndexFile:
                 return
 
 
+def _sketched(sketch: np.ndarray):
+    """A function of a hash: whether the sketch has it. Texts are not sent to Python for it."""
+
+    @F.pandas_udf("boolean")
+    def known(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom.maybe(bloom.flags(sketch), h.to_numpy().view(np.uint64)))
+
+    return known
+
+
 def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100) -> Archive:
     """Writes a record for every row, and the index."""
     spark = pages.sparkSession
@@ -222,13 +243,23 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"))
     own = own.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("bytes", F.octet_length("html"))
-    # The first of each payload, found from digests alone and joined back; payloads are not shuffled for it.
+    # The first of each payload that repeats is found from digests alone, and joined back: the few that a thousandth of the pages
+    # have by broadcast. Of the rest, pages whose digest a sketch of fixed size has among the repeated ones are shuffled with
+    # their payloads; all others are written where they are read.
     first = own.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(F.struct(order_id("id").alias("o"), "id", F.coalesce("url", F.lit("")).alias("url"))).alias("f"), F.count("*").alias("n"))
-    first = first.where("n > 1").select(F.col("digest").alias("d"), F.col("f.id").alias("first_id"), F.col("f.o").alias("first_o"), F.col("f.url").alias("first_url"))
+    first = first.where("n > 1").select(F.col("digest").alias("d"), F.xxhash64("digest").alias("dh"), "n", F.col("f.id").alias("first_id"), F.col("f.o").alias("first_o"), F.col("f.url").alias("first_url"))
+    first = checkpointed(first)
+    least = (first.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(first.where(F.col("n") > least).drop("dh", "n"))  # fewer than HOT_SHARE rows
+    long_digest = F.when(F.col("bytes") >= least_bytes, F.col("digest"))
+    near = own.withColumn("long_digest", long_digest).join(hot, F.col("long_digest") == F.col("d"), "left")
+    repeated = F.col("d").isNull() & F.col("long_digest").isNotNull() & _sketched(bloom.build(first.where(F.col("n") <= least), "dh"))(F.xxhash64("digest"))
+    near = near.withColumn("far", F.coalesce(repeated, F.lit(False)))
+    far = near.where("far").drop("d", "first_id", "first_o", "first_url")
+    far = far.join(first.where(F.col("n") <= least).drop("dh", "n"), F.col("long_digest") == F.col("d"), "left")
     later = order_id("id") > F.col("first_o")
-    marked = own.join(checkpointed(first), (F.col("digest") == F.col("d")) & (F.col("bytes") >= least_bytes), "left").select(
-        "id", "url", "html", "digest", F.when(later, F.col("first_id")).alias("refers_to"), F.when(later, F.col("first_url")).alias("refers_url")
-    )
+    columns = ["id", "url", "html", "digest", F.when(later, F.col("first_id")).alias("refers_to"), F.when(later, F.col("first_url")).alias("refers_url")]
+    marked = near.where("NOT far").select(columns).union(far.select(columns))
     captures = checkpointed(marked.mapInArrow(_write_records(folder), CAPTURE))
     sorted_lines = captures.repartitionByRange(parts(spark), "key", order_id("id")).sortWithinPartitions("key", order_id("id"), "file", "offset")
     ranges = checkpointed(sorted_lines.mapInArrow(_write_index(folder), "first_key string, file string"))
@@ -255,25 +286,44 @@ def lookup(spark: SparkSession, archive: Archive, urls: DataFrame, url_col: str
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32())], ["key", "range"])
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where the records of the keys are: the index alone is read."""
         store, base = _store(archive.folder)
-        files: dict[str, IndexFile] = {}
-        warcs: dict[str, pa.NativeFile] = {}
+        name, index = None, None
         for batch in batches:
-            rows = []
+            found = []
             for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = archive.ranges[at][1]
-                if name not in files:
-                    for old in list(files):
-                        files.pop(old).file.close()
-                    files[name] = IndexFile(store, f"{base}/{name}")
-                for line in files[name].find(k):
-                    _, _, file, offset, length, *_ = line
-                    if file not in warcs:
-                        if len(warcs) >= 64:
-                            warcs.pop(next(iter(warcs))).close()
-                        warcs[file] = store.open_input_file(f"{base}/{file}")
-                    fields, payload = parse(gzip.decompress(warcs[file].read_at(int(length), int(offset))))
+                if name != archive.ranges[at][1]:
+                    if index is not None:
+                        index.file.close()
+                    name = archive.ranges[at][1]
+                    index = IndexFile(store, f"{base}/{name}")
+                for _, _, file, offset, length, *_ in index.find(k):
+                    found.append((k, file, int(offset), int(length)))
+                    if len(found) == 4096:
+                        yield _table(found, PLACE)
+                        found = []
+            yield _table(found, PLACE)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The records at sorted places: neighbours are read in one range."""
+        store, base = _store(archive.folder)
+        name, warc = None, None
+        for batch in batches:
+            wanted, at = list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), 0
+            while at < len(wanted):
+                _, file, start, length = wanted[at]
+                until, end = at + 1, start + length
+                while until < len(wanted) and wanted[until][1] == file and wanted[until][2] <= end + GAP and wanted[until][2] + wanted[until][3] - start <= READ:
+                    end = max(end, wanted[until][2] + wanted[until][3])
+                    until += 1
+                if name != file:
+                    if warc is not None:
+                        warc.close()
+                    name, warc = file, store.open_input_file(f"{base}/{file}")
+                raw, rows = memoryview(warc.read_at(end - start, start)), []
+                for k, _, offset, length in wanted[at:until]:
+                    fields, payload = parse(gzip.decompress(raw[offset - start : offset - start + length]))
                     number = lambda v: int(v) if v else None
                     kind = fields["WARC-Type"]
                     digest = fields["WARC-Payload-Digest"].partition(":")[2]
@@ -281,19 +331,21 @@ def lookup(spark: SparkSession, archive: Archive, urls: DataFrame, url_col: str
                         raise ValueError(f"{file} at {offset}: the payload's digest is wrong")
                     rows.append((k, number(fields["X-Page-Id"]), fields["WARC-Target-URI"], kind, digest, number(fields.get("X-Refers-To-Page-Id")),
                                  int(fields["X-Payload-Length"]), payload if kind == "response" else None))
-                    if len(rows) == 256:
-                        yield _batch(rows)
+                    if len(rows) == 64:
+                        yield _table(rows, FOUND)
                         rows = []
-            if rows:
-                yield _batch(rows)
+                if rows:
+                    yield _table(rows, FOUND)
+                at = until
 
     # Each (key, range) is a task's work, so that a key with very many captures is read by many.
     keys = urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(ranges_of, "key string, range int").distinct()
     keys = keys.repartitionByRange(parts(spark), "key", "range").sortWithinPartitions("key", "range")
-    return keys.mapInArrow(of_batches, "key string, id long, url string, record_type string, digest string, refers_to long, payload_length long, payload binary")
+    found = keys.mapInArrow(places, "key string, file string, offset long, length long")
+    found = found.repartition(parts(spark), "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    return found.mapInArrow(records, "key string, id long, url string, record_type string, digest string, refers_to long, payload_length long, payload binary")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["key", "id", "url", "record_type", "digest", "refers_to", "payload_length", "payload"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
