@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once into spark.checkpoint.dir; only where that is unset (tests), into a local folder."""
+    """df, computed once into spark.checkpoint.dir; only a local session may do without, with a folder of its own."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kvloom-"))
     return df.checkpoint()
