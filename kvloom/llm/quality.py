@@ -7,8 +7,8 @@ of the tail probabilities; selection takes the texts whose tail probability at a
 
 The model is fitted on at most `sample_rows` rated rows, chosen by a seeded hash of the id; scoring covers
 all rows and whole texts. Rows: null and empty texts have x = 0, and so the score that thresholds alone
-give. Null ratings are ignored; of different ratings of an id the highest holds; ids may repeat. Without
-ratings every grade is 0 and the tail probability 0.5. Empty tables give empty results.
+give. Null ratings are ignored; of different ratings of an id the highest holds; of rows that share a rated id one text (that of
+the least hash) is learnt from, and all are scored. Texts of any length are read whole. Without ratings every grade is 0 and the tail probability 0.5. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -71,9 +71,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def ordered(p: np.ndarray, m: int) -> np.ndarray:
+    """Thresholds from parameters: m weights, the first threshold, and the logarithms of the steps to the next ones."""
+    return np.cumsum(np.concatenate((p[m : m + 1], np.exp(p[m + 1 :]))))
+
+
+def loss(p: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, decay: float) -> tuple[float, np.ndarray]:
+    """The mean log loss of the cumulative links (with half the decay times the squared weights), and its gradient by p."""
+    n, m = len(grade), len(p) - grades + 1
+    w, t = p[:m], ordered(p, m)
+    z = np.bincount(row, weights=w[at] * value, minlength=n)
+    s = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -30, 30)))
+    ends = np.concatenate((np.ones((n, 1)), s, np.zeros((n, 1))), axis=1)
+    own = np.maximum(ends[np.arange(n), grade] - ends[np.arange(n), grade + 1], 1e-9)
+    # d(-log P(y))/dz_k: a row's own grade lies between the tails y and y + 1.
+    slope = np.zeros((n, grades - 1))
+    for k in range(1, grades):
+        d = s[:, k - 1] * (1 - s[:, k - 1])
+        slope[:, k - 1] = np.where(grade == k, -d / own, np.where(grade == k - 1, d / own, 0.0))
+    by_t = -slope.mean(axis=0)
+    by_w = np.bincount(at, weights=slope.sum(axis=1)[row] * value, minlength=m) / n + decay * w
+    steps = [np.exp(p[m + j]) * by_t[j:].sum() for j in range(1, grades - 1)]
+    return float(-np.log(own).mean() + decay / 2 * (w**2).sum()), np.concatenate((by_w, [by_t.sum()], steps))
+
+
 def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, their weights, thresholds), by Adam on the mean log loss of the cumulative links."""
-    n = len(grade)
+    """(features, their weights, thresholds), by Adam on the loss."""
     names, at = np.unique(feature, return_inverse=True)
     tail = np.array([(grade >= k).mean() for k in range(1, grades)])
     tail = np.clip(tail, 1e-3, 1 - 1e-3)
@@ -81,26 +104,10 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
     p = np.concatenate((np.zeros(len(names)), [t[0]], np.log(np.maximum(np.diff(t), 1e-2))))
     m, v = np.zeros_like(p), np.zeros_like(p)
     for i in range(1, rounds + 1):
-        w, t = p[: len(names)], np.cumsum(np.concatenate((p[len(names) : len(names) + 1], np.exp(p[len(names) + 1 :]))))
-        z = np.bincount(row, weights=w[at] * value, minlength=n)
-        s = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -30, 30)))
-        ends = np.concatenate((np.ones((n, 1)), s, np.zeros((n, 1))), axis=1)
-        own = np.maximum(ends[np.arange(n), grade] - ends[np.arange(n), grade + 1], 1e-9)
-        # d(-log P(y))/dz_k: a row's own grade lies between the tails y and y + 1.
-        slope = np.zeros((n, grades - 1))
-        for k in range(1, grades):
-            d = s[:, k - 1] * (1 - s[:, k - 1])
-            slope[:, k - 1] = np.where(grade == k, -d / own, np.where(grade == k - 1, d / own, 0.0))
-        by_z = slope.sum(axis=1)
-        by_t = -slope.mean(axis=0)
-        by_p = np.concatenate((
-            np.bincount(at, weights=by_z[row] * value, minlength=len(names)) / n + decay * w,
-            [by_t.sum()], [np.exp(p[len(names) + j]) * by_t[j:].sum() for j in range(1, grades - 1)],
-        ))
+        _, by_p = loss(p, row, at, value, grade, grades, decay)
         m, v = 0.9 * m + 0.1 * by_p, 0.999 * v + 0.001 * by_p**2
         p = p - 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
-    t = np.cumsum(np.concatenate((p[len(names) : len(names) + 1], np.exp(p[len(names) + 1 :]))))
-    return names, p[: len(names)], t
+    return names, p[: len(names)], ordered(p, len(names))
 
 
 def fitted(grades: int):
@@ -134,9 +141,10 @@ def train(docs: DataFrame, ratings: DataFrame, *, grades: int, sample_rows: int
     share = min(1.0, sample_rows / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(own), "id").select("text", "grade")  # at most about sample_rows ids
+    # At most about sample_rows ids, and one text of each; in order, so that sums come out alike.
+    sample = texts.join(F.broadcast(own), "id").groupBy("id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "t.text", "grade")
     weights, thresholds = np.zeros(SIZE), np.zeros(grades - 1)
-    for feature, weight in sample.repartition(1).mapInArrow(fitted(grades), "feature long, weight double").collect():
+    for feature, weight in sample.repartition(1).sortWithinPartitions("id").select("text", "grade").mapInArrow(fitted(grades), "feature long, weight double").collect():
         if feature < 0:
             thresholds[-1 - feature] = weight
         else:

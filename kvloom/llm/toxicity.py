@@ -3,9 +3,9 @@
 Tokens that cannot be read plainly, and runs of pieces whatever parts them, become lattices of what each
 character may stand for: itself, the letters it is used for, or nothing (a separator, a repetition). Only those
 are left out of which no reading holds a word of the classifier, where a run starts with a piece and its symbols
-are all letters or all separators (within a token they may be both). Viterbi decoding finds the likeliest reading under a trigram character
-model, trained on the letters of all documents and on the words of the classifier. The restored text is then
-scored: the log odds of the words, and beginnings of words, that toxic texts hold more often than chance
+are all letters or all separators (within a token they may be both). Letters may be accented, wide, circled or
+of another alphabet. Viterbi decoding finds the likeliest reading under a trigram character model, trained on
+the letters of all documents and on the words of the classifier. The restored text is then scored: the log odds of the words, and beginnings of words, that toxic texts hold more often than chance
 allows (copies of a text count once), added to those of the labels.
 
 Labels are read only where the caller says that a row may be learnt from; the classifier is fitted on at
@@ -13,19 +13,22 @@ most `sample_rows` labelled rows (chosen by a seeded hash of the id). Character
 Labels, lang, source and ids are no inputs of a score.
 
 Rows: null and empty texts get the score of a text without words of the classifier. Repeated rows stay. A
-null id is held out of nothing and has no label. Of different labels for an id the highest holds. Without
-any labelled row, or without toxic or other ones, every text gets the share of toxic labels (0 without
-labels). Empty tables give empty results. Texts of any length are read whole.
+null id is held out of nothing and has no label. Of different labels for an id the highest holds; of rows that
+share a labelled id one text (that of the least hash) is learnt from. Without any labelled row, or without
+toxic or other ones, every text gets the share of toxic labels (0 without labels). Empty tables give empty
+results. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,10 +42,23 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
     "*": "aeiou", "#": "aeiou", "%": "aeiou",
-    "à": "a", "á": "a", "â": "a", "ä": "a", "å": "a", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i",
-    "ï": "i", "ò": "o", "ó": "o", "ô": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ç": "c", "ñ": "n",
     "а": "a", "е": "e", "і": "i", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
+
+
+def compatible(fixed: dict[str, str]) -> dict[str, str]:
+    """What lower-case characters stand for whose compatibility form is a letter, or a digit that stands for letters: accented, wide, circled, mathematical."""
+    out = {}
+    for i in range(0x80, 0x20000):
+        c = chr(i)
+        form = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if c == c.lower() and c not in fixed and len(form) == 1 and form.isascii() and form.isalnum():
+            out[c] = form if form.isalpha() else fixed[form]
+    return out
+
+
+STANDS_FOR |= compatible(STANDS_FOR)
 SYMBOL = r"0-9@$!|+(<€£¡*#%"
 #: For restored texts only; scoring looks at all tokens and runs. Four or more characters that stand apart; else a place that makes its whole token suspicious: a symbol before a
 #: letter, final digits, a joint between letters, a letter three times in a row.
@@ -54,12 +70,36 @@ SUSPICIOUS = re.compile(
 CLASS = {c: "a" for c in "aeioul"} | {"g": "b"}
 
 
+#: Below this code point characters are looked up in tables; no blank lies above.
+LOW = 0x3001
+SPACE = np.array([chr(i).isspace() for i in range(LOW)] + [False])
+#: Parts the texts of a slice in their common skeleton.
+PARTING = 1
+
+
 class Skeleton(dict):
     """For str.translate: a letter's class; nothing for what may be a separator (symbols: or what they stand for)."""
 
     def __init__(self, symbols: bool):
         super().__init__()
         self.symbols = symbols
+        self.low = np.array([self.code(i) for i in range(LOW)] + [0], np.uint32)
+
+    def code(self, point: int) -> int:
+        """The class of a code point as one, 0 for nothing."""
+        return ord(self[point]) if self[point] else 0
+
+    def of(self, codes: np.ndarray, parting: np.ndarray) -> tuple[str, np.ndarray]:
+        """The skeleton of a text of code points, each run of a class as one, and where each run begins; parting: places of PARTING."""
+        classes = self.low[np.minimum(codes, LOW)]
+        for point in np.unique(codes[codes >= LOW]).tolist():
+            classes[codes == point] = self.code(point)
+        classes[parting] = PARTING
+        kept = np.flatnonzero(classes)
+        classes = classes[kept]
+        new = np.ones(len(kept), bool)
+        new[1:] = classes[1:] != classes[:-1]
+        return classes[new].tobytes().decode("utf-32-le"), kept[new]
 
     def __missing__(self, point: int) -> str:
         c = chr(point)
@@ -68,6 +108,9 @@ class Skeleton(dict):
         return self[point]
 
 
+#: Symbols that may be letters or separators.
+MARK = np.array([chr(i) in STANDS_FOR and not chr(i).isalnum() for i in range(LOW)] + [False])
+HIGH_MARKS = np.array(sorted(ord(c) for c in STANDS_FOR if ord(c) >= LOW and not c.isalnum()), np.uint32)
 MARKS = re.compile("[" + re.escape("".join(c for c in STANDS_FOR if not c.isalnum())) + "]")
 BLANK = re.compile(r"\s|\Z")
 LETTERS = 28  # a boundary, a-z, any other letter
@@ -132,6 +175,8 @@ class Decoder:
 
     def __call__(self, span: str, apart: bool, symbols: str = "") -> str:
         """The likeliest reading of a span; apart: its blanks may be nothing; symbols: all are letters, or may be nothing."""
+        if len(span) > 64:
+            return self.decode(span, apart, symbols)
         if (span, apart, symbols) not in self.known:
             if len(self.known) >= 1 << 16:
                 self.known.clear()
@@ -320,9 +365,9 @@ def train(
     share = min(1.0, sample_rows / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # The sample's size is bounded, so its ids may be sent to every task, and its texts to one.
-    sample = texts.join(F.broadcast(own), "id").select("text", "toxic")
-    found = sample.repartition(1).sortWithinPartitions(F.desc("toxic")).mapInArrow(fit_words(chance, least_weight), "word binary, weight double").collect()
+    # The sample's size is bounded, so its ids may be sent to every task, and its texts, one an id, to one.
+    sample = texts.join(F.broadcast(own), "id").groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "t.text", "toxic")
+    found = sample.repartition(1).sortWithinPartitions(F.desc("toxic"), "id").select("text", "toxic").mapInArrow(fit_words(chance, least_weight), "word binary, weight double").collect()
     intercept = next((x for word, x in found if word is None), -20.0)
     words = {word.decode(errors="surrogateescape"): x for word, x in sorted((f for f in found if f[0] is not None), key=lambda f: (-f[1], f[0]))}
     return Model(words, intercept, log_model(char_model(docs, text_col), [w for w, x in words.items() if x > 1 and w.isalpha()]))
@@ -360,7 +405,11 @@ class Scorer:
                 self.across.setdefault(bone, []).append(pieces(own, w[-1] == "*"))
         bones = sorted(self.within, key=len)
         self.least = [b for i, b in enumerate(bones) if not any(a in b for a in bones[:i])]
-        self.plainly: set[str] = set()  # tokens without a hidden word
+        self.find = ahocorasick.Automaton()
+        for i, bone in enumerate(self.across):
+            self.find.add_word(bone, (i, len(bone)))
+        self.find.make_automaton()
+        self.patterns = [*self.across.values()]
         self.hides: dict[str, set[str]] = {}
 
     def restored(self, text: str) -> Iterator[tuple[int, int, str]]:
@@ -417,30 +466,65 @@ class Scorer:
         ways = range(1, (1 << len(at)) - 1)
         return {squeezed("".join(c for i, c in enumerate(token) if i not in at or way >> at.index(i) & 1).translate(self.letters)) for way in ways}
 
-    def hidden(self, text: str) -> set[str]:
-        """The model's words that only decoding shows."""
-        found: set[str] = set()
-        for token in set(text.split()) - self.plainly:
-            if token not in self.hides:
-                if len(self.plainly) + len(self.hides) >= 1 << 19:
-                    self.plainly, self.hides = set(), {}
-                words = self.of_token(token)
-                if not words:
-                    self.plainly.add(token)
-                    continue
-                self.hides[token] = words
-            found |= self.hides[token]
-        for own in self.skeletons(text):
-            if any(bone in own for bone in self.least):
-                for bone, patterns in self.across.items():
-                    if bone in own:
-                        for pattern in patterns:
-                            for m in pattern.finditer(text):
-                                span = m.group()
-                                if any(c.isspace() for c in span):
-                                    found |= self.named(span, True)
+    def by_token(self, token: str) -> set[str]:
+        """What a token hides, looked up if it was asked before."""
+        if token not in self.hides:
+            if len(self.hides) >= 1 << 16:
+                self.hides.clear()
+            words = self.of_token(token)
+            if len(token) > 64:
+                return words
+            self.hides[token] = words
+        return self.hides[token]
+
+    def hidden_in(self, texts: list[str]) -> list[set[str]]:
+        """Of each lower-case text the model's words that only decoding shows.
+
+        A word can be hidden only where its letters' classes stand one after another in the skeleton of all texts: the tokens
+        there, and the runs of pieces, are looked at. Tokens of several symbols, some of which may be separators, are looked at too.
+        """
+        found: list[set[str]] = [set() for _ in texts]
+        if not self.across or not any(texts):
+            return found
+        joined = "\n".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # the line end after each text
+        blanks = np.concatenate(([-1], np.flatnonzero(SPACE[np.minimum(codes, LOW)]), [len(codes)]))
+        places, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        wide, kinds = len(codes) + 1, len(self.patterns)
+        token_of = lambda at: np.searchsorted(blanks, at)  # noqa: E731  blanks[i - 1] and blanks[i] part token i from others
+        for table in (self.letters, self.parted):
+            bones, start = table.of(codes, ends[:-1])
+            hits = np.array([(e - n + 1, e, i) for e, (i, n) in self.find.iter(bones)], np.int64).reshape(-1, 3)
+            first, last, after = start[hits[:, 0]], start[hits[:, 1]], np.append(start, len(codes))[hits[:, 1] + 1]
+            # Within a token all runs of classes but the first begin in it.
+            second = token_of(start[np.minimum(hits[:, 0] + 1, hits[:, 1])])
+            tokens.append(second[second == token_of(last)])
+            a, b = token_of(first), token_of(after - 1)
+            some = a < b  # over several tokens
+            places.append(((blanks[a[some] - 1] + 1) * wide + blanks[b[some]]) * kinds + hits[some, 2])
+        high = np.flatnonzero(codes >= LOW)
+        marks = np.concatenate((np.flatnonzero(MARK[np.minimum(codes, LOW)]), high[np.isin(codes[high], HIGH_MARKS)]))
+        before, times = np.unique(token_of(marks), return_counts=True)
+        tokens.append(before[times > 1])
+        if min(map(len, self.across)) == 1:  # such a word may lie anywhere in a run
+            tokens.append(np.arange(1, len(blanks)))
+        own = np.unique(np.concatenate(tokens))
+        for a, b, row in zip((blanks[own - 1] + 1).tolist(), blanks[own].tolist(), np.searchsorted(ends, blanks[own]).tolist(), strict=True):
+            found[row] |= self.by_token(joined[a:b])
+        at, kind = np.divmod(np.unique(np.concatenate(places)), kinds)
+        at, until = np.divmod(at, wide)
+        for a, b, i, row in zip(at.tolist(), until.tolist(), kind.tolist(), np.searchsorted(ends, at).tolist(), strict=True):
+            for pattern in self.patterns[i]:
+                for m in pattern.finditer(joined, a, b):
+                    if any(c.isspace() for c in m.group()):
+                        found[row] |= self.named(m.group(), True)
         return found
 
+    def hidden(self, text: str) -> set[str]:
+        """The words that a lower-case text hides."""
+        return self.hidden_in([text])[0]
+
     def __call__(self, column: pa.Array) -> np.ndarray:
         model = self.model
         w = Words(column, NOT_ALNUM, lower=True)
@@ -454,8 +538,8 @@ class Scorer:
             np.add.at(sums, pairs[:, 0], model.weights[pairs[:, 1]])
             seen = set(map(tuple, pairs.tolist()))
         if model.words:
-            for row, text in enumerate(column.to_pylist()):
-                for word in self.hidden((text or "").lower()):
+            for row, words in enumerate(self.hidden_in([(text or "").lower() for text in column.to_pylist()])):
+                for word in words:
                     i = model.place[word]
                     if (row, i) not in seen:
                         sums[row] += model.weights[i]

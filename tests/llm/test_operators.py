@@ -70,6 +70,8 @@ def test_decoding_restores_obfuscated_words():
     "hidden, word",
     [(x, "idiot") for x in ("idio+", "iiddiioott", "i   d   i   o   t", "id io t", "i/d/i/o/t", "i,d,i,o,t", "i\nd\ni\no\nt", "i+d+i+o+t", "1d!ot", "i / d / 1 / 0 / t", "id\u200biot")]
     + [(x, "stupid") for x in ("ssttuuppiidd", "stu pid", "s t u\np i d", "$tupid")]
+    + [(x, "stupid") for x in ("st.u.pid", "sstupidd", "\uff53\uff54\uff55\uff50\uff49\uff44", "\u24e2\u24e3\u24e4\u24df\u24d8\u24d3", "s\u0301tu\u0301pid", "s\nt\nu\np\ni\nd", "\U0001d42c\U0001d42d\U0001d42epid")]
+    + [("m\u03bfr\u03bfn", "moron"), ("m\u014dr\u0151n", "moron")]
     + [(x, "moron") for x in ("mo ron", "mo.ron", "m o\tr o n", "m0 r0n")],
 )
 def test_decoding_restores_every_form(hidden, word):
@@ -80,6 +82,54 @@ def test_decoding_restores_every_form(hidden, word):
     assert not scorer.hidden("a letter to all good people (see 12/3), more on that! did i, or to")
 
 
+def best_reading(logs, span, apart, symbols):
+    """The best (score, reading) over all ways to write a span, each scored by itself; None if two readings tie."""
+    ways = [(0.0, (0, 0, ""), "")]
+    for i, ch in enumerate(span):
+        choices = [(x, toxicity.SYMBOL_COST) for x in toxicity.STANDS_FOR.get(ch, "")] + [(ch, 0.0)] * ch.isalpha()
+        letters_only = symbols == "letters" and ch in toxicity.STANDS_FOR
+        if not ch.isalnum() and (apart or not ch.isspace()) and (symbols == "nothing" or ch not in toxicity.STANDS_FOR or ch == "*") and not letters_only:
+            choices.append(("", toxicity.DROP_COST))
+        if not ch.isalpha() and not letters_only:
+            inner = 0 < i < len(span) - 1 and span[i - 1].isalnum() and span[i + 1].isalnum()
+            choices.append((" ", toxicity.INNER_COST if inner or ch.isdigit() else toxicity.EDGE_COST))
+        more = []
+        for score, (a, b, last), text in ways:
+            for out, cost in choices:
+                if out:
+                    d = toxicity.code(out)
+                    more.append((score + cost + logs[a][b][d], (b, d, out), text + out))
+                if out == "" or out == last:
+                    more.append((score + cost + (toxicity.REPEAT_COST if out else 0), (a, b, last), text))
+        ways = more
+    ends = sorted(((s + logs[a][b][0], text) for s, (a, b, _), text in ways), reverse=True)
+    return ends[0][1] if all(t == ends[0][1] for s, t in ends if s > ends[0][0] - 1e-9) else None
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    rng = np.random.default_rng(8)
+    logs = toxicity.log_model(rng.integers(0, 50, toxicity.LETTERS**3).astype(float), ["idiot", "stupid", "scum"])
+    decoder, tried = toxicity.Decoder(logs), 0
+    spans = ["1d!ot", "ssc*m", "s c u", "id-io", "$tu p", "a@@1", "((x", "öß 1", "ii ii"] + ["".join(rng.choice(list("ist1!$* -.a@ö"), 5)) for _ in range(60)]
+    for span in spans:
+        for apart in (False, True):
+            for symbols in ("", "letters", "nothing"):
+                want = best_reading(logs.tolist(), span, apart, symbols)
+                if want is not None:
+                    tried += 1
+                    assert decoder.decode(span, apart, symbols) == want, (span, apart, symbols)
+    assert tried > 200
+
+
+def test_words_of_one_class_and_across_texts():
+    """Words whose letters are all of one class may lie anywhere in a run; nothing is read across two texts."""
+    words = {"ill": 5.0, "idiot": 5.0}
+    scorer = toxicity.Scorer(toxicity.Model(words, -2.0, toxicity.log_model(np.zeros(toxicity.LETTERS**3), list(words))))
+    texts = ["a 1ll e", "idi", "ot", "id\nio t", "", "x 1d1ot"]
+    assert scorer.hidden_in(texts) == [scorer.hidden(t) for t in texts]
+    assert scorer.hidden_in(texts)[0] == {"ill"} and scorer.hidden_in(texts)[1:] == [set(), set(), {"idiot"}, set(), {"idiot"}]
+
+
 def test_toxicity_rows_and_accuracy(spark, docs, no_docs):
     model = toxicity.Model({"idiot": 5.0}, -2.0, toxicity.log_model(np.zeros(toxicity.LETTERS**3), ["idiot"]))
     got = toxicity.score(docs, model).collect()
@@ -223,6 +273,27 @@ def test_ordinal_regression(spark, docs, no_docs):
     assert (r.selected == (r.quality == 1)).mean() > 0.95
 
 
+def test_ordinal_gradient_by_finite_differences():
+    rng = np.random.default_rng(6)
+    for grades in (2, 3, 5):
+        n, m = 40, 7
+        row, at, value, grade = rng.integers(0, n, 120), rng.integers(0, m, 120), rng.normal(size=120), rng.integers(0, grades, n)
+        p = rng.normal(size=m + grades - 1) * 0.5
+        _, slope = quality.loss(p, row, at, value, grade, grades, 0.01)
+        for k in range(len(p)):
+            step = np.zeros_like(p)
+            step[k] = 1e-6
+            high, low = (quality.loss(p + s, row, at, value, grade, grades, 0.01)[0] for s in (step, -step))
+            assert math.isclose((high - low) / 2e-6, slope[k], rel_tol=1e-4, abs_tol=1e-7)
+        # The loss itself from the tails that scoring gives.
+        t = quality.ordered(p, m)
+        z = np.zeros(n)
+        np.add.at(z, row, p[at] * value)
+        tails = [[1.0, *(1 / (1 + np.exp(-(x - t)))), 0.0] for x in z]
+        want = -np.mean([math.log(x[g] - x[g + 1]) for x, g in zip(tails, grade.tolist(), strict=True)]) + 0.005 * (p[:m] ** 2).sum()
+        assert math.isclose(quality.loss(p, row, at, value, grade, grades, 0.01)[0], want, rel_tol=1e-9)
+
+
 def test_language_scores(spark, docs, no_docs):
     ids = spark.createDataFrame([(1,), (2,), (None,), (1,)], "doc_id long")
     known, target, background = language.train(docs, ids, vocabulary=100, bits=12)
