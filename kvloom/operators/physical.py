@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvloom.functions import hashing
+from kvloom.operators.lineage import settled
 
 SEGMENT_BYTES = 5 * 1024 * 1024
 MEMTABLE_ROWS = 100_000
@@ -16,9 +17,9 @@ EVERY = 100
 
 
 def sparse_index(keys: DataFrame, every: int = EVERY, bucket_rows: int = 1 << 16) -> DataFrame:
-    """(key, position) of every so many-th key in order: positions from counts of ranges, so that no task sees all keys."""
+    """(key, position) of every so many-th key in order: positions from counts of ranges, so that no task sees all keys. The ranges are settled, as two steps read them."""
     ranged = keys.select("key").repartitionByRange("key").select("key", F.spark_partition_id().alias("_part"))
-    ranged = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("key")) - 1)
+    ranged = settled(ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("key")) - 1))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ranged.join(F.broadcast(before.select("_part", "_before")), "_part")  # a row for each task
@@ -58,7 +59,7 @@ def flushes(mutations: DataFrame, limit: int = MEMTABLE_ROWS) -> DataFrame:
     A write flushes first if the table is full, so run = (keys before it) / limit.
     """
     ranked = mutations.select("seq").repartitionByRange("seq").select("seq", F.spark_partition_id().alias("_part"))
-    ranked = ranked.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1)
+    ranked = settled(ranked.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1))
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ranked.join(F.broadcast(before.select("_part", "_before")), "_part")

@@ -18,8 +18,17 @@ def located(requests: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def get(state: DataFrame, path: str) -> DataFrame:
-    """(path, value) of one path; the miss text if there is none. The key filter reaches the scan."""
-    return multi_get(state, state.sparkSession.createDataFrame([(path,)], "path string"))
+    """(path, value) of one path; the miss text if there is none. Namespace and key are constants, so their filter reaches the scan."""
+    ns, key = place(path)
+    found = state.where((F.col("ns") == ns) & (F.col("key") == key)).agg(F.max("value").alias("value"), F.count("*").alias("n"))
+    value = F.when(F.col("n") > 0, F.coalesce("value", F.lit(""))).otherwise(MISS)
+    return found.select(F.lit(path).alias("path"), value.alias("value"))
+
+
+def place(path: str) -> tuple[str, str]:
+    """The namespace and key that a path addresses."""
+    *folders, key = path.split("/")
+    return "/".join([paths.ROOT, *[s for s in folders if s]]), key
 
 
 def multi_get(state: DataFrame, requests: DataFrame, path_col: str = "path") -> DataFrame:

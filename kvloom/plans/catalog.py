@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from kvloom.functions import hashing, paths
 from kvloom.functions.infer import infer_type
 from kvloom.operators import fold, physical, reads, stats, versions
+from kvloom.operators.lineage import shared_dir
 from kvloom.plans.commands import Session, parse_shell
 from kvloom.sources import fixtures as fx
+from kvloom.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -253,18 +256,29 @@ def q27_merge_runs(spark, d):
     return reads.merge_runs(runs, ["key"])
 
 
-@query()
+INT_BYTES = "[n & 255, (n >> 8) & 255, (n >> 16) & 255, (n >> 24) & 255]"
+CODES = "list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+
+
+@query(f"""WITH RECURSIVE r(i, n, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT i, n + 1, xor(c >> 1, CAST(3988292384 AS BIGINT) * (c & 1)) FROM r WHERE n < 8
+), t AS (SELECT list(c ORDER BY i) AS tab FROM r WHERE n = 8), e AS (
+  SELECT seq, key, v, CASE {INFER} WHEN 'STRING' THEN 0 WHEN 'INT' THEN 1 WHEN 'DOUBLE' THEN 2 WHEN 'BOOL' THEN 3 ELSE 4 END AS tag FROM (SELECT seq, key, props AS v FROM ({EVENT_LOG}))
+), b AS (
+  SELECT seq, list_concat(list_concat(list_concat({INT_BYTES.replace("n ", "length(key) ")}, {CODES.format("key")}), list_concat({INT_BYTES.replace("n ", "length(v) ")}, [tag])), {CODES.format("v")}) AS bytes FROM e
+) SELECT seq, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc FROM b, t""")
 def q28_entry_crc(spark, d):
     log = fx.events(spark, d)
     return log.select("seq", hashing.entry_crc(F.col("path"), F.col("value"), infer_type(F.col("value"))).alias("crc"))
 
 
 
-@query("""SELECT key, h, h % 255 + 1 AS fp, h % 10000 AS bucket FROM (
+@query("""SELECT key, h, fp, h % 10000 AS bucket, xor(h % 10000, xor(m2 >> 16, m2)) % 10000 AS other FROM (
+  SELECT *, (xor(m1 >> 16, m1) * 73244475) & 4294967295 AS m2 FROM (SELECT *, (xor(fp >> 16, fp) * 73244475) & 4294967295 AS m1 FROM (SELECT key, h, h % 255 + 1 AS fp FROM (
   SELECT c_name AS key, list_reduce(list_transform(range(1, length(c_name) + 1), lambda i: CAST(ascii(substr(c_name, CAST(i AS INTEGER), 1)) AS BIGINT)),
-         lambda a, x: (xor(a, x) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS h FROM customer)""")
+         lambda a, x: (xor(a, x) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS h FROM customer))))""")
 def q29_filter_placement(spark, d):
-    return physical.filter_placement(fx.table(spark, d, "customer").select(F.col("c_name").alias("key"))).drop("other")
+    return physical.filter_placement(fx.table(spark, d, "customer").select(F.col("c_name").alias("key")))
 
 
 @query(f"SELECT key, position FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS position FROM ({ORDERS})) WHERE position % 100 = 0")
@@ -288,19 +302,75 @@ def q32_membership(spark, d):
     return sides[0].union(sides[1])
 
 
-SERVER = [("SET users/ann {\"r\":1}", "OK"), ("SET users/bob 7", "OK"), ("get users/ann", '{"r":1}'), ("GET nope", "ERROR: Key not found."), ("GET RANGE \"a\" \"z\"", "[users] => root/users"),
-          ("GET users/a*", '[users/ann] => {"r":1}'), ("DEL users/bob", "OK"), ("STATS", "LIVE:1 TOTAL:1"), ("GET", "ERROR: Missing Key"), ("FLY x", "ERROR: Unknown Command 'FLY'")]
-SHELL = [("spawn users", "OK"), ("cd users", "OK"), ("put ameetesh {\"role\": \"admin\"}", "OK"), ("get ameetesh", '{"role": "admin"}'), ("stats", "LIVE:1 TOTAL:1"), ("ls", "[FILE] ameetesh"), ("cd ..", "OK"), ("ls", "[DIR]   users")]
-SCRIPT = [("server", i, line, reply) for i, (line, reply) in enumerate(SERVER)] + [("shell", i, line, reply) for i, (line, reply) in enumerate(SHELL)]
+BLOCK = "\r\n".join(["--- {} MATCHES ---", "{}", "-" * 22])
+SERVER = [("SET users/ann {\"r\":1}", "OK"), ("SET users/bob 7", "OK"), ("get users/ann", '{"r":1}'), ("GET nope", "ERROR: Key not found."), ("GET RANGE \"a\" \"z\"", BLOCK.format("RANGE", "[users] => root/users")),
+          ("GET users/a*", BLOCK.format("PREFIX", '[users/ann] => {"r":1}')), ("GET q*", "ERROR: No matching keys found"), ("DEL users/bob", "OK"), ("STATS", "LIVE:1 TOTAL:1"), ("GET", "ERROR: Missing Key"),
+          ("CONVERT \"a b\"", "OK"), ("GET a b", "ERROR: Key not found."), ("GET RANGE a", "ERROR: Missing Range Bounds"), ("FLY x", "ERROR: Unknown Command 'FLY'")]
+SHELL = [("spawn users", ""), ("cd users", ""), ("put ameetesh {\"role\": \"admin\"}", ""), ("get ameetesh", '{"role": "admin"}'), ("get a*", "--- PREFIX MATCHES ---\n[ameetesh] => {\"role\": \"admin\"}\n" + "-" * 22),
+         ("stats", "\n--- [root_users] HEALTH REPORT ---\n   Live Keys     : 1\n   Total Entries : 1\n   Waste Ratio   : 0.00%\n" + "-" * 32 + "\n"), ("ls", "[FILE] ameetesh"), ("cd ..", ""), ("ls", "[DIR]   users"), ("cd nope", "[SYSTEM] Error: 'nope' is not a valid directory."), ("fly", "[SYSTEM] Unknown command.")]
 
 
-@query(f"SELECT * FROM {values(SCRIPT, 'language, n, line, reply')}")
-def q33_commands(spark, d):
+def _script(*scripts: tuple[str, list[tuple[str, str]]]) -> list[tuple[str, int, str, str]]:
+    return [(language, i, line, reply) for language, lines in scripts for i, (line, reply) in enumerate(lines)]
+
+
+def _replies(spark, script):
     server, shell = Session(spark), Session(spark, parse_shell)
-    rows = [(language, n, line, (server if language == "server" else shell).run(line)) for language, n, line, _ in SCRIPT]
+    rows = [(language, n, line, (server if language == "server" else shell).run(line)) for language, n, line, _ in script]
     return spark.createDataFrame(rows, "language string, n int, line string, reply string")
 
 
+SCRIPT = _script(("server", SERVER), ("shell", SHELL))
+
+
+@query(f"SELECT * FROM {values(SCRIPT, 'language, n, line, reply')}")
+def q33_commands(spark, d):
+    return _replies(spark, SCRIPT)
+
+
+REPORT = "\n--- [{}] HEALTH REPORT ---\n   Live Keys     : {}\n   Total Entries : {}\n   Waste Ratio   : {}%\n" + "-" * 32 + "\n"
+#: Loads of a subtree that was deleted since, and compactions.
+LOADS = [("SET u/a 1", "OK"), ("SAVE u s1", "OK"), ("DEL u", "OK"), ("LOAD s1", "OK"), ("GET u/a", "ERROR: Key not found."), ("SET u/b 9", "OK"), ("LOAD s1", "OK"), ("GET u/a", "1"), ("GET u/b", "ERROR: Key not found."),
+         ("STATS", "LIVE:1 TOTAL:3"), ("LOAD nope", "OK"), ("LOAD", "ERROR: Missing State Name"), ("SAVE", "ERROR: Missing Argument")]
+COMPACTIONS = [("put a 1", ""), ("put a 2", ""), ("del b", ""), ("stats", REPORT.format("root", 1, 3, "66.67")), ("compact", ""), ("stats", REPORT.format("root", 1, 1, "0.00")), ("put n/x 1", ""), ("put n/x 2", ""),
+               ("save s1", ""), ("compact_all", "[SYSTEM] Initiating recursive compaction...\n[SYSTEM] Full database compaction complete."), ("cd n", ""), ("stats", REPORT.format("root_n", 1, 1, "0.00")), ("put y 3", ""),
+               ("stats", REPORT.format("root_n", 2, 2, "0.00")), ("loadlast", "[SYSTEM] Loading most recent backup: s1"), ("stats", REPORT.format("root", 2, 2, "0.00")), ("cd n", ""), ("stats", REPORT.format("root_n", 1, 2, "50.00")), ("get y", "ERROR: Key not found.")]
+RESTORES = _script(("server", LOADS), ("shell", COMPACTIONS))
+
+
+@query(f"SELECT * FROM {values(RESTORES, 'language, n, line, reply')}")
+def q34_load_and_compact(spark, d):
+    return _replies(spark, RESTORES)
+
+
+def stored(spark, log: DataFrame, last: int) -> Store:
+    """A store whose log was appended, flushed and compacted in between; its last quarter is the tail."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    for quarter, after in enumerate((store.flush, store.compact, store.flush, lambda: None)):
+        store.append(log.where((F.col("seq") > last * quarter // 4) & (F.col("seq") <= last * (quarter + 1) // 4)))
+        after()
+    return store
+
+
+def _event_store(spark, d) -> Store:
+    return stored(spark, fx.events(spark, d), fx.table(spark, d, "events").agg(F.max("event_id")).first()[0])
+
+
+@query(f"SELECT 'root' AS ns, key, 'JSON' AS type, props AS value, seq FROM ({LAST_EVENT}) WHERE event_type <> 'error'")
+def q35_store_state(spark, d):
+    return _event_store(spark, d).state()
+
+
+@query(f"SELECT key, props AS value FROM ({LAST_EVENT}) WHERE event_type <> 'error' AND key BETWEEN 'user_00010' AND 'user_00040'")
+def q36_store_range(spark, d):
+    return _event_store(spark, d).range_scan("user_00010", "user_00040")
+
+
+@query(f"SELECT 'user_00007' AS path, coalesce((SELECT props FROM ({LAST_EVENT}) WHERE event_type <> 'error' AND key = 'user_00007'), 'ERROR: Key not found.') AS value")
+def q37_store_get(spark, d):
+    return _event_store(spark, d).get("user_00007")
+
+
 @query("SELECT o_orderkey AS seq, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000.0) AS BIGINT) AS run FROM orders")
 def p1_flushes(spark, d):
     return physical.flushes(fx.orders(spark, d), 1000)

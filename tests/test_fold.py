@@ -30,6 +30,11 @@ def interpret(script):
         return node
 
     for op, path, value in script:
+        if op in ("COMPACT", "RESET"):
+            node = walk([s for s in path.split("/") if s], False)
+            if node is not None:
+                node.entries = len(node.keys) if op == "COMPACT" else 0
+            continue
         cut = path.split("/")
         segments = [s for s in cut[:-1] if s] + [cut[-1]]
         key = segments[-1]
@@ -40,9 +45,9 @@ def interpret(script):
         if op == "PUT" and not isinstance(held, Node):
             node.keys[key] = value
             node.entries += 1
-        elif op == "DEL":
+        elif op in ("DEL", "DROP"):
             node.keys.pop(key, None)
-            node.entries += 1
+            node.entries += op == "DEL"
         elif op == "SPAWN":
             node.entries += 1
             if not isinstance(held, Node):
@@ -70,14 +75,15 @@ def scripts(n, seed):
         for _ in range(rng.randint(1, 14)):
             path = "/".join(rng.choice(NAMES) for _ in range(rng.randint(1, 4)))
             path = rng.choice(["", "", "", "/"]) + path + rng.choice(["", "", "", "", "/"])
-            out.append((rng.choice(["PUT", "PUT", "PUT", "DEL", "SPAWN", "CONVERT"]), path, str(rng.randint(0, 99))))
+            out.append((rng.choice(["PUT", "PUT", "PUT", "PUT", "DEL", "DEL", "SPAWN", "CONVERT", "COMPACT", "DROP", "RESET"]), path, str(rng.randint(0, 99))))
         yield out
 
 
-def test_closed_form_equals_the_interpreter(spark):
+def test_closed_form_equals_the_interpreter(spark, monkeypatch):
     """All scripts in one log: each below a namespace of its own, which is spawned first and so stands for the root."""
+    monkeypatch.setattr(fold, "BUCKETS", 7)
     rows, expected_state, expected_counts = [], [], []
-    for i, script in enumerate(scripts(60, 1)):
+    for i, script in enumerate(scripts(150, 1)):
         rows.append((len(rows) + 1, "SPAWN", f"s{i}", ""))
         rows += [(len(rows) + 1 + j, op, f"s{i}/{path}", value) for j, (op, path, value) in enumerate(script)]
         state, counts = interpret(script)

@@ -65,6 +65,9 @@ def test_shell_lines():
     assert parse_shell("put k") == Command("")
     assert parse_shell("put k  v w") == Command("SET", "k", " v w")
     assert parse_shell("save p s") == Command("SAVE", "s", "p")
+    assert parse_shell('convert "a b" ') == Command("CONVERT", 'a b" ')
+    assert parse_shell('convert "a b"') == Command("CONVERT", "a b")
+    assert parse_shell("compact_all") == Command("COMPACT_ALL") and parse_shell("cd") == Command("")
     assert parse_shell("nonsense").error
 
 
@@ -77,5 +80,4 @@ def test_store_and_stream(spark, tmp_path):
     assert store.compact() == 1
     store.append(spark.createDataFrame([(3, "DEL", "c", "")], "seq long, op string, path string, value string"))
     assert store.compact() == 2
-    assert {(r.ns, r.key) for r in store.run().collect()} == {("root", "a"), ("root/a", "b")}
-    assert store.run(1).count() == 3
+    assert {(r.ns, r.key) for r in store.state().collect()} == {("root", "a"), ("root/a", "b")}
