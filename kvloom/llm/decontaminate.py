@@ -26,6 +26,8 @@ from kvloom.llm.kernel import LOWER, NOT_ALNUM, Sequences, Words, signed, slices
 from kvloom.llm.shared import checkpointed
 
 SHINGLE = 3
+#: Distinct shingles that a task counts before it gives the counts out.
+HELD = 1 << 20
 
 
 def item_windows(items: DataFrame, window_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -67,7 +69,11 @@ def _shingles(w: Words, seq: Sequences, k: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _counted(sketch: np.ndarray, sizes: list[int]):
-    """For mapInArrow: (shingle, times) of what the sketch lets through, summed over the task."""
+    """For mapInArrow: (shingle, times) of what the sketch lets through, summed over so many shingles as fit."""
+
+    def told(times: dict[int, int]) -> pa.RecordBatch:
+        h = np.fromiter(times, np.uint64, len(times))
+        return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.fromiter(times.values(), np.int64, len(times)))], ["shingle", "times"])
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag, times = bloom.flags(sketch), {}
@@ -79,8 +85,10 @@ def _counted(sketch: np.ndarray, sizes: list[int]):
                     _, h = _shingles(w, seq, k)
                     for x, c in zip(*(y.tolist() for y in np.unique(h[bloom.maybe(flag, h)], return_counts=True)), strict=True):
                         times[x] = times.get(x, 0) + c
-        h = np.fromiter(times, np.uint64, len(times))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.fromiter(times.values(), np.int64, len(times)))], ["shingle", "times"])
+                if len(times) > HELD:
+                    yield told(times)
+                    times = {}
+        yield told(times)
 
     return of_batches
 
@@ -94,16 +102,17 @@ def _candidates(sketch: np.ndarray, sizes: list[int], window_words: int):
             for part in slices(batch):
                 w = Words(part.column("text"), NOT_ALNUM, lower=True)
                 seq, rows = Sequences(w.hashes()), w.row_of()
-                places, tokens = [], []
+                places, tokens, reach = [], [], []
                 for k in sizes:
                     at, h = _shingles(w, seq, k)
                     keep = bloom.maybe(flag, h)
                     places.append(at[keep])
                     tokens.append(h[keep])
-                at, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, tokens))
+                    reach.append(np.full(len(places[-1]), window_words if k == SHINGLE else k))  # a shorter token is its whole window
+                at, h, reach = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, tokens, reach))
                 row = rows[at]
-                left = np.minimum(at - w.first[row], window_words - 1)
-                until = np.minimum(at + window_words, w.first[row + 1])
+                left = np.minimum(at - w.first[row], np.where(reach < SHINGLE, 0, reach - 1))
+                until = np.minimum(at + reach, w.first[row + 1])
                 raw = w.data.tobytes()
                 around = [
                     " ".join(raw[x:y].decode() for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True))

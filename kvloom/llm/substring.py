@@ -231,7 +231,7 @@ def _packed(docs: DataFrame, repeated: np.ndarray | None) -> DataFrame:
                 names = [pa.array(x) for x in _row_names(part, flags)]
                 yield pa.RecordBatch.from_arrays([*names, pa.array(z, pa.binary()), part.column("rest")], [*ROW, "z", "rest"])
 
-    schema = T.StructType([*T.StructType.fromDDL("doc long, t1 long, t2 long, z binary").fields, docs.schema["rest"]])
+    schema = T.StructType([*T.StructType.fromDDL("doc long NOT NULL, t1 long NOT NULL, t2 long NOT NULL, z binary").fields, docs.schema["rest"]])
     return docs.mapInArrow(of_batches, schema)
 
 
@@ -312,6 +312,8 @@ def _cut(window: int, verbatim: bool):
                 part = batch.slice(at, 256)
                 done = [one(t, r or []) for t, r in zip(_unpacked(part.column("z")), part.column("runs").to_pylist(), strict=True)]
                 n, gone, kept, factors = zip(*done, strict=True)
+                if verbatim:
+                    kept = [k if z.as_py() else None for k, z in zip(kept, part.column("z"), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ROW), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, factor), part.column("rest")],
                     [*ROW, "n_words", "n_removed", "kept", "factors", "rest"],
@@ -326,7 +328,7 @@ def dedup_substrings(
     """id, n_words, n_removed, kept (the words left, joined by one space), factors and rest of every row.
 
     factors are the duplicate spans with the earlier place that each copies; rest is a struct of the columns to carry.
-    verbatim: a text that loses nothing stays as it is, blanks and all.
+    verbatim: a text that loses nothing stays as it is, blanks and all, and null if it was null.
     """
     if not 2 * GRAM <= window <= GRAM + 15:
         raise ValueError(f"window must be {2 * GRAM} to {GRAM + 15} words")
@@ -339,7 +341,7 @@ def dedup_substrings(
     blocks = checkpointed(_streamed(own.drop("rest").mapInArrow(_index(window, hot_anchors(own, window), repeated), ROWS)))
     open_blocks = blocks.where("ref_doc IS NULL").groupBy(*ROW).agg(F.collect_set(F.struct("a", "n")).alias("runs"))
     texts = _packed(own, repeated)
-    # Both joins deal the texts alike, so that they are shuffled once.
+    # Both joins deal the same columns of the texts alike, so that they are shuffled once.
     windows = texts.join(open_blocks, ROW).mapInArrow(_boundary_windows(window), ROWS)
     single = _streamed(windows)
     runs = blocks.union(single).where("ref_doc IS NOT NULL")

@@ -2,11 +2,12 @@
 
 Only DataFrame functions run here. Each distinct url is expanded into the expressions that a rule could
 have (as many host labels and as long a path prefix as some rule has), each expression's SHA-256 is joined
-with the rules on its first 32 bits, and the full digest then confirms the match. The longest rule wins.
+with the rules on its first 32 bits alone, and the full digest then confirms the match. The longest rule wins.
+A url's verdict is joined back to its rows; urls that a thousandth of the rows have are joined by broadcast.
 
-Null urls, and urls without "://", have an empty host and an empty path, and no rule fits them. Repeated
-rows and repeated urls each get a row of the result. An empty table gives an empty result. Other columns of
-the input, whatever their names, are not read unless named.
+Null urls, and urls without "://", have an empty host and an empty path, and no rule fits them; they are in no
+join. Repeated rows and repeated urls each get a row of the result. An empty table gives an empty result. Other
+columns of the input, whatever their names, are not read unless named. Urls of any length are read whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvloom.llm.shared import checkpointed, joined_by
+
 RULE_SCHEMA = "rule_host string, rule_path string, action string"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,8 +37,9 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def _digest(host: Column, path: Column) -> Column:
-    return F.sha2(F.concat(host, path), 256)
+def _expression(host: Column, path: Column) -> Column:
+    """Host and path as one text, which no other host and path have."""
+    return F.concat(F.length(host).cast("string"), F.lit(":"), host, path)
 
 
 def _short(digest: Column) -> Column:
@@ -56,7 +60,7 @@ def filter_urls(
         rules.where("rule_host IS NOT NULL AND rule_path IS NOT NULL AND action IS NOT NULL")
         .groupBy(F.translate("rule_host", UPPER, LOWER).alias("rule_host"), "rule_path")
         .agg(F.max(F.struct((F.col("action") == "block").alias("b"), "action"))["action"].alias("action"))
-        .withColumn("rule_digest", _digest(F.col("rule_host"), F.col("rule_path")))
+        .withColumn("rule_digest", F.sha2(_expression(F.col("rule_host"), F.col("rule_path")), 256))
         .withColumn("rule_short", _short(F.col("rule_digest")))
     )
     # The shapes that rules have bound the expressions of a url; there are few, however many rules there are.
@@ -73,28 +77,29 @@ def filter_urls(
             F.col("_id").alias(id_col), host.alias("host"), path.alias("path"),
             F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"),
         )
-    found = own.select("_url").where(F.instr("_url", "://") > 0).distinct().select("_url", host.alias("h"), path.alias("p"))
+    has = F.coalesce(F.instr("_url", "://") > 0, F.lit(False))
+    found = own.where(has).groupBy("_url").agg(F.count("*").alias("_n")).select("_url", "_n", host.alias("h"), path.alias("p"))
     labels = F.size(F.split("h", r"\."))
     tried = F.array_compact(F.array(*[
-        F.when(
-            (labels >= n) & (F.length("p") >= k),
-            F.concat(F.substring_index("h", ".", -n), F.substring("p", 1, k)),
-        )
+        F.when((labels >= n) & (F.length("p") >= k), _expression(F.substring_index("h", ".", -n), F.substring("p", 1, k)))
         for n, k in shapes
     ]))
-    found = found.select("_url", F.explode(F.array_distinct(tried)).alias("tried"))
-    found = found.select("_url", F.sha2("tried", 256).alias("digest"))
+    found = found.select("_url", "_n", F.explode_outer(F.array_distinct(tried)).alias("tried"))
+    found = found.select("_url", "_n", F.sha2("tried", 256).alias("digest"))
     rank = F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"),
         (F.col("action") == "block").alias("b"), F.concat("rule_host", "rule_path").alias("rule"), "action",
     )
+    # The join is on the short prefixes; the digest is compared in a form that makes no join key of it.
+    confirmed = (F.col("digest") >= F.col("rule_digest")) & (F.col("digest") <= F.col("rule_digest"))
     best = (
-        found.join(rules, (_short(F.col("digest")) == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest")))
-        .groupBy("_url")
-        .agg(F.max(rank).alias("best"))
-        .select(F.col("_url").alias("_matched"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
-    )
-    return own.join(best, F.col("_url") == F.col("_matched"), "left").select(
-        F.col("_id").alias(id_col), host.alias("host"), path.alias("path"), "rule",
-        F.coalesce("action", F.lit(default)).alias("verdict"),
+        found.join(rules, (_short(F.col("digest")) == F.col("rule_short")) & confirmed, "left")
+        .groupBy("_url", "_n")
+        .agg(F.max(F.when(F.col("action").isNotNull(), rank)).alias("best"))
+        .select("_url", "_n", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
     )
+    best = checkpointed(best)
+    rows = best.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    judged = joined_by(own.where(has), best, "_url", "_n", rows)
+    other = own.where(~has).select("_url", "_id", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return judged.select("_url", "_id", "rule", "verdict").union(other).select(F.col("_id").alias(id_col), host.alias("host"), path.alias("path"), "rule", "verdict")
