@@ -25,8 +25,8 @@ from kvloom.operators.lineage import settled
 KILLS = ("DEL", "DROP")
 #: Their paths name a namespace, and not a key.
 FOLDERS = ("COMPACT", "RESET")
-#: The log's time is cut into so many, so that events below a hot path are dealt to many tasks.
-BUCKETS = 1024
+#: The log's time is cut into buckets of about so many rows, so that events below a hot path are dealt to many tasks; so many at most.
+BUCKET_ROWS, BUCKETS = 1 << 16, 1024
 FIRST = -(1 << 62)
 
 
@@ -83,6 +83,7 @@ def normalised(mutations: DataFrame) -> DataFrame:
 class Shape:
     """What a log has: steps that it can do without are left out."""
 
+    rows: int
     last: int
     deepest: int
     structural: bool
@@ -95,10 +96,10 @@ def shape(log: DataFrame) -> Shape:
     """The shape of a normalised log: a few numbers, and the depths of deleted paths."""
     op, d = F.col("op"), depth(F.col("p"))
     r = log.agg(
-        F.max("seq"), F.max(F.when(op.isin("PUT", "SPAWN"), d)), F.count_if(op.isin("SPAWN", "CONVERT")), F.max(F.when(op == "CONVERT", d)),
+        F.count("*"), F.max("seq"), F.max(F.when(op.isin("PUT", "SPAWN"), d)), F.count_if(op.isin("SPAWN", "CONVERT")), F.max(F.when(op == "CONVERT", d)),
         F.sort_array(F.collect_set(F.when(op.isin(*KILLS), d))), F.count_if(op.isin(*FOLDERS)),
     ).first()
-    return Shape(r[0] or 0, r[1] or 0, r[2] > 0, r[3] or 0, tuple(r[4]), r[5] > 0)
+    return Shape(r[0], r[1] or 0, r[2] or 0, r[3] > 0, r[4] or 0, tuple(r[5]), r[6] > 0)
 
 
 def _kills(log: DataFrame) -> DataFrame:
@@ -119,16 +120,21 @@ def kills_as_of(points: DataFrame, log: DataFrame, s: Shape) -> DataFrame:
     """
     if not s.killed:
         return points.withColumn("k", F.lit(-1).cast("long"))
-    kills, none = _kills(log), F.lit(None)
-    bucket = lambda t: F.floor(F.col(t) / max(1, -(-(s.last + 1) // BUCKETS)))
-    tries = _tries(points.select("p", "t").distinct(), s.killed).join(kills.select("d").distinct(), "d", "left_semi")
+    kills, none, buckets = _kills(log), F.lit(None), min(BUCKETS, 1 + s.rows // BUCKET_ROWS)
+    bucket = lambda t: F.floor(F.col(t) / max(1, -(-(s.last + 1) // buckets)))
+    tries = _tries(points.select("p", "t").distinct(), s.killed)
+    if buckets > 1:
+        tries = tries.join(kills.select("d").distinct(), "d", "left_semi")
     asked = tries.select("d", bucket("t").alias("b"), "t", F.lit(0).alias("kind"), "p", none.cast("long").alias("seq"))
     own = kills.select("d", bucket("seq").alias("b"), F.col("seq").alias("t"), F.lit(1).alias("kind"), none.cast("string").alias("p"), "seq")
-    each = asked.select("d", "b", "seq").distinct().union(own.groupBy("d", "b").agg(F.max("seq"))).groupBy("d", "b").agg(F.max("seq").alias("seq"))
-    before = F.max("seq").over(Window.partitionBy("d").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    carried = each.withColumn("seq", before).where("seq IS NOT NULL").select("d", "b", F.lit(FIRST).alias("t"), F.lit(1).alias("kind"), none.cast("string").alias("p"), "seq")
+    rows = asked.union(own)
+    if buckets > 1:
+        each = asked.select("d", "b", "seq").distinct().union(own.groupBy("d", "b").agg(F.max("seq"))).groupBy("d", "b").agg(F.max("seq").alias("seq"))
+        before = F.max("seq").over(Window.partitionBy("d").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+        carried = each.withColumn("seq", before).where("seq IS NOT NULL")
+        rows = rows.union(carried.select("d", "b", F.lit(FIRST).alias("t"), F.lit(1).alias("kind"), none.cast("string").alias("p"), "seq"))
     upto = Window.partitionBy("d", "b").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    ruled = asked.union(own).union(carried).withColumn("k", F.max("seq").over(upto)).where("p IS NOT NULL AND k IS NOT NULL")
+    ruled = rows.withColumn("k", F.max("seq").over(upto)).where("p IS NOT NULL AND k IS NOT NULL")
     return points.join(ruled.groupBy("p", "t").agg(F.max("k").alias("k")), ["p", "t"], "left").withColumn("k", F.coalesce("k", F.lit(-1)))
 
 

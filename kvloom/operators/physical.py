@@ -53,6 +53,19 @@ def segments(entries: DataFrame, cap: int = SEGMENT_BYTES) -> DataFrame:
     return entries.select("seq", "bytes").repartition(1).sortWithinPartitions("seq").mapInPandas(walk, "seq long, bytes long, segment long")
 
 
+def pointers(entries: DataFrame, cap: int = SEGMENT_BYTES) -> DataFrame:
+    """(seq, segment, offset, bytes): where each entry of the log lies; a segment is a window."""
+    before = Window.partitionBy("segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = settled(segments(entries, cap))
+    return placed.select("seq", "segment", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long").alias("offset"), "bytes")
+
+
+def point_read(asked: DataFrame, log: DataFrame) -> DataFrame:
+    """asked(segment, offset, ...) with the value and found, of log(segment, offset, value); a place without an entry reads as a tombstone."""
+    entries = log.select("segment", "offset", "value", F.lit(True).alias("found"))
+    return asked.join(entries, ["segment", "offset"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def flushes(mutations: DataFrame, limit: int = MEMTABLE_ROWS) -> DataFrame:
     """(seq, run): the sorted run that each new key's first write since the last flush goes to, for a log of distinct keys.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kvloom.functions import hashing, paths
 from kvloom.functions.infer import infer_type
 from kvloom.operators import fold, physical, reads, stats, versions
-from kvloom.operators.lineage import shared_dir
+from kvloom.operators.lineage import settled, shared_dir
 from kvloom.plans.commands import Session, parse_shell
 from kvloom.sources import fixtures as fx
 from kvloom.sources.store import Store
@@ -333,8 +333,8 @@ REPORT = "\n--- [{}] HEALTH REPORT ---\n   Live Keys     : {}\n   Total Entries
 LOADS = [("SET u/a 1", "OK"), ("SAVE u s1", "OK"), ("DEL u", "OK"), ("LOAD s1", "OK"), ("GET u/a", "ERROR: Key not found."), ("SET u/b 9", "OK"), ("LOAD s1", "OK"), ("GET u/a", "1"), ("GET u/b", "ERROR: Key not found."),
          ("STATS", "LIVE:1 TOTAL:3"), ("LOAD nope", "OK"), ("LOAD", "ERROR: Missing State Name"), ("SAVE", "ERROR: Missing Argument")]
 COMPACTIONS = [("put a 1", ""), ("put a 2", ""), ("del b", ""), ("stats", REPORT.format("root", 1, 3, "66.67")), ("compact", ""), ("stats", REPORT.format("root", 1, 1, "0.00")), ("put n/x 1", ""), ("put n/x 2", ""),
-               ("save s1", ""), ("compact_all", "[SYSTEM] Initiating recursive compaction...\n[SYSTEM] Full database compaction complete."), ("cd n", ""), ("stats", REPORT.format("root_n", 1, 1, "0.00")), ("put y 3", ""),
-               ("stats", REPORT.format("root_n", 2, 2, "0.00")), ("loadlast", "[SYSTEM] Loading most recent backup: s1"), ("stats", REPORT.format("root", 2, 2, "0.00")), ("cd n", ""), ("stats", REPORT.format("root_n", 1, 2, "50.00")), ("get y", "ERROR: Key not found.")]
+               ("save s1", ""), ("compact_all", "[SYSTEM] Initiating recursive compaction...\n[SYSTEM] Full database compaction complete."), ("cd n", ""), ("put y 3", ""),
+               ("stats", REPORT.format("root_n", 2, 2, "0.00")), ("loadlast", "[SYSTEM] Loading most recent backup: s1"), ("cd n", ""), ("stats", REPORT.format("root_n", 1, 2, "50.00")), ("get y", "ERROR: Key not found.")]
 RESTORES = _script(("server", LOADS), ("shell", COMPACTIONS))
 
 
@@ -376,14 +376,30 @@ def p1_flushes(spark, d):
     return physical.flushes(fx.orders(spark, d), 1000)
 
 
-@query("""WITH RECURSIVE e AS (
+SEGMENTS = """WITH RECURSIVE e AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS seq, CAST(24 + strlen(text) AS BIGINT) AS bytes FROM documents
 ), w AS (
   SELECT i, seq, bytes, bytes AS used, CAST(0 AS BIGINT) AS segment FROM e WHERE i = 1 UNION ALL
   SELECT e.i, e.seq, e.bytes, CASE WHEN w.used + e.bytes > 262144 THEN e.bytes ELSE w.used + e.bytes END,
          CASE WHEN w.used + e.bytes > 262144 THEN w.segment + 1 ELSE w.segment END FROM w JOIN e ON e.i = w.i + 1
-) SELECT seq, bytes, segment FROM w""")
-def p2_segments(spark, d):
+) """
+
+
+def _doc_entries(spark, d):
     name = F.concat(F.lit("doc_"), fx.padded("doc_id", 7))
-    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), hashing.entry_size(name, F.col("text")).cast("long").alias("bytes"))
-    return physical.segments(docs, 262144)
+    return fx.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), hashing.entry_size(name, F.col("text")).cast("long").alias("bytes"), F.col("text").alias("value"))
+
+
+@query(SEGMENTS + "SELECT seq, bytes, segment FROM w")
+def p2_segments(spark, d):
+    return physical.segments(_doc_entries(spark, d), 262144)
+
+
+@query(SEGMENTS + """SELECT seq, segment, CAST(used - bytes AS BIGINT) AS "offset", sha256(text) AS value_sha256, true AS found FROM w JOIN documents ON doc_id = seq WHERE seq % 7 = 0
+UNION ALL SELECT -1, 999999, 0, NULL, false""")
+def p3_point_read(spark, d):
+    entries = _doc_entries(spark, d)
+    placed = settled(physical.pointers(entries, 262144))
+    asked = placed.where("seq % 7 = 0").select("seq", "segment", "offset").union(spark.createDataFrame([(-1, 999999, 0)], "seq long, segment long, offset long"))
+    log = placed.join(entries.select("seq", "value"), "seq")
+    return physical.point_read(asked, log).select("seq", "segment", "offset", F.sha2("value", 256).alias("value_sha256"), "found")

@@ -97,6 +97,10 @@ class Store:
             return self.mutations()
         return (out.unionByName(self._scan(base, where)) if base else out).select("seq", "op", "path", "value")
 
+    def invalidate(self) -> None:
+        """Forgets what Spark keeps of the store's files, after others wrote or removed some."""
+        self.spark.catalog.refreshByPath(self.folder)
+
     def state(self) -> DataFrame:
         """Everything alive."""
         return fold.state(self.mutations())

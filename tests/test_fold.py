@@ -81,7 +81,7 @@ def scripts(n, seed):
 
 def test_closed_form_equals_the_interpreter(spark, monkeypatch):
     """All scripts in one log: each below a namespace of its own, which is spawned first and so stands for the root."""
-    monkeypatch.setattr(fold, "BUCKETS", 7)
+    monkeypatch.setattr(fold, "BUCKET_ROWS", 200)
     rows, expected_state, expected_counts = [], [], []
     for i, script in enumerate(scripts(150, 1)):
         rows.append((len(rows) + 1, "SPAWN", f"s{i}", ""))
