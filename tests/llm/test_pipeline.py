@@ -93,7 +93,7 @@ def one_of_each(rows, spark, folder):
 
 def without_passages(rows, spark, folder):
     seen, out = {}, []
-    for i, t, *rest in sorted(rows, key=lambda r: LAST if r[0] is None else r[0]):
+    for i, t, lang, source, _ in sorted(rows, key=lambda r: LAST if r[0] is None else r[0]):
         words, at = plain_words(t), LAST if i is None else i
         gone = set()
         for a in range(len(words) - 19):
@@ -102,7 +102,7 @@ def without_passages(rows, spark, folder):
         if gone:
             t = b" ".join(w for n, w in enumerate(words) if n not in gone).decode()
         if not gone or t:
-            out.append((i, t, *rest))
+            out.append((i, t, lang, source, None if t is None else len(t)))
     assert sum(a != b for a, b in zip(sorted(map(str, rows)), sorted(map(str, out)), strict=False)) and len(out) < len(rows)
     return out
 
