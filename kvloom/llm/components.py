@@ -22,7 +22,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = joined_by(both, checkpointed(least), "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = checkpointed(large.distinct())
+        large = large.distinct()
         # Small star: each node's smaller neighbours, and itself, are linked with the smallest of them.
         least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = joined_by(large, least, "a", "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Order value of a row without an id: after every real id.
 LAST_ID = (1 << 63) - 1
-#: A key is hot if it has more than one row in so many.
-HOT_SHARE = 1000
+#: A key is hot if it has more than one row in so many, and more rows than one task does well.
+HOT_SHARE, HOT_ROWS = 1000, 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,9 +59,12 @@ def joined_by(left: DataFrame, right: DataFrame, key: str, rows: str, total: int
     """left joined with right, which has one row a key, and `rows`: how many of left's `total` rows have the key.
 
     Keys of more than one row in HOT_SHARE are fewer than HOT_SHARE, so they may be sent to every task; the rest is joined by the
-    shuffle, where no key is a hot one. Keys without a row in right are left out; null keys too.
+    shuffle, where no key is a hot one. Keys without a row in right are left out; null keys too. right is read twice, and should be
+    checkpointed.
     """
-    least = total // HOT_SHARE
+    least = max(total // HOT_SHARE, HOT_ROWS)
+    if right.where(F.col(rows) > least).isEmpty():
+        return left.join(right.drop(rows), key)
     hot = F.broadcast(right.where(F.col(rows) > least).drop(rows))  # fewer than HOT_SHARE rows
     cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) <= least).drop(rows), key)
     return left.join(hot, key).unionByName(cold)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kvloom.llm import decontaminate, language, mixing, nearest, oracles, quality, queries, similar, simhash, substring, toxicity, urlfilter, warc
+from kvloom.llm import decontaminate, language, mixing, nearest, oracles, quality, queries, shared, similar, simhash, substring, toxicity, urlfilter, warc
 from kvloom.llm.components import components
 from kvloom.llm.kernel import SPACES, Words
 
@@ -55,6 +55,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hot_rows", [0, 3, 1 << 16])
+def test_joins_of_hot_keys(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(shared, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(shared, "HOT_SHARE", 10)
+    rows = [(k, i) for i, k in enumerate([1] * 30 + [2] * 9 + [3, 4, None, 5])]
+    left = spark.createDataFrame(rows, "k long, i long")
+    right = spark.createDataFrame([(1, "a", 30), (2, "b", 9), (3, "c", 1), (9, "d", 0)], "k long, v string, n long")
+    got = shared.joined_by(left, right, "k", "n", len(rows))
+    assert got.columns == ["k", "i", "v"]
+    names = {1: "a", 2: "b", 3: "c"}
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, names[k]) for k, i in rows if k in names)
+
+
 def test_decoding_restores_obfuscated_words():
     words = {"idiot": 5.0, "stupid": 5.0, "worthless": 5.0}
     model = toxicity.Model(words, -2.0, toxicity.log_model(np.zeros(toxicity.LETTERS**3), list(words)))
