@@ -27,8 +27,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first by id, of each group that is linked by a similarity of 0.8 of five-word shingles."""
-    return similar.keep_one(docs.select(COLUMNS), shingle_words=5, similarity=0.8)
+    """One document, the first by id, of each group that is linked as op7 links (SimHash fingerprints of three-word shingles at most 3 bits
+    apart, by deletion variants) or by a similarity of 0.8 of five-word shingles."""
+    return similar.keep_one(docs.select(COLUMNS), print_words=3, max_distance=3, shingle_words=5, similarity=0.8)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Near-copies by word-shingle similarity: candidates from min-wise sampled shingles, then exact verification.
 
-This is not the deletion-variant index of `simhash`: at a Jaccard similarity of 0.8 of five-word shingles, 64-bit
-SimHash fingerprints differ in 11 bits on average, far beyond what deletion variants of few segments can reach.
+With `max_distance`, texts are also linked by their SimHash fingerprints, through the deletion-variant index of `simhash`
+and without any loss; components are those of both kinds of links. The index alone would not do: at a Jaccard similarity
+of 0.8 of five-word shingles, 64-bit SimHash fingerprints differ in 11 bits on average, far beyond what deletion variants
+of few segments can reach.
 Each text gets `views` keys, each made of three of its shingles, the least under a seeded hash: of two texts with
 similarity s a key is equal with a probability of about s**3, and at 0.8 one of sixteen is with 99.999 %. Keys are
 equality-joined by the shuffle. Within a key, texts whose whole SimHash fingerprints differ in at most `cutoff`
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvloom.llm import simhash
 from kvloom.llm.components import components
 from kvloom.llm.kernel import BASE, SPACES, Sequences, Words, mix, signed, slices
 from kvloom.llm.shared import LAST_ID, checkpointed, joined_by, order_id, parts
@@ -41,8 +44,8 @@ def shingle_sets(column: pa.Array, shingle_words: int) -> Iterator[np.ndarray]:
         yield np.unique(seq.of(place, place + k))
 
 
-def _sketches(shingle_words: int, views: int):
-    """For mapInArrow: (id, th, set digest, fingerprint, view keys)."""
+def _sketches(shingle_words: int, views: int, print_words: int | None):
+    """For mapInArrow: (id, th, set digest, fingerprint of the set, view keys, fingerprint of `simhash` if it is asked for)."""
     seeds = mix(np.arange(1, views + 1, dtype=np.uint64) * np.uint64(BASE))
 
     def one(h: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -64,10 +67,11 @@ def _sketches(shingle_words: int, views: int):
             for part in slices(batch):
                 digest, fp, keys = zip(*(one(h) for h in shingle_sets(part.column("text"), shingle_words)), strict=True)
                 flat = pa.array(signed(np.concatenate(keys)))
+                prints = [simhash.fingerprint(t.as_py(), print_words) if print_words else 0 for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("th"), pa.array(signed(np.array(digest, np.uint64))), pa.array(signed(np.array(fp, np.uint64))),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, views, dtype=np.int32)), flat)],
-                    ["id", "th", "digest", "fp", "views"],
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, views, dtype=np.int32)), flat), pa.array(signed(np.array(prints, np.uint64)))],
+                    ["id", "th", "digest", "fp", "views", "print"],
                 )
 
     return of_batches
@@ -249,13 +253,31 @@ def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
 
 
+def print_links(marked: DataFrame, max_distance: int) -> DataFrame:
+    """Links (a < b) between the classes of rows (digest, print) whose fingerprints are equal or linked by the index of `simhash`."""
+    both = checkpointed(marked.select("print", "digest").distinct())
+    prints = checkpointed(both.groupBy("print").agg(F.min("digest").alias("name"), F.count("*").alias("n")))
+    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same = joined_by(both, prints.where("n > 1"), "print", "n", total).select(F.col("digest").alias("a"), F.col("name").alias("b"))
+    near = simhash.links(prints.select(F.col("print").alias("fp")), max_distance).distinct()
+    for side in ("a", "b"):
+        near = near.join(prints.select(F.col("print").alias(side), F.col("name").alias(f"{side}_name")), side)
+    out = same.union(near.select("a_name", "b_name")).where("a <> b")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_copies(
-    docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, views: int = 16, cutoff: int = 30, block: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, views: int = 16, cutoff: int = 30, block: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+    print_words: int = 3, max_distance: int | None = None,
 ) -> DataFrame:
-    """(id, th, component_id, stays) of every row: stays marks the first row (id, then text hash th) of each group."""
+    """(id, th, component_id, stays) of every row: stays marks the first row (id, then text hash th) of each group.
+
+    With max_distance, texts whose fingerprints of print_words-word shingles differ in so many bits at most are linked as well.
+    """
     n = parts(docs.sparkSession)
     own = docs.select(order_id(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    marked = checkpointed(own.mapInArrow(_sketches(shingle_words, views), "id long, th long, digest long, fp long, views array<long>"))
+    sketches = _sketches(shingle_words, views, None if max_distance is None else print_words)
+    marked = checkpointed(own.mapInArrow(sketches, "id long, th long, digest long, fp long, views array<long>, print long"))
     first = F.min(F.struct("id", "th"))
     classes = marked.groupBy("digest").agg(first.alias("first"), F.min("fp").alias("fp"), F.min("views").alias("views"), F.count("*").alias("rows"))
     classes = checkpointed(classes)
@@ -275,7 +297,10 @@ def near_copies(
     sets = own.join(wanted, ["id", "th"]).select("digest", "text").mapInArrow(_sets(shingle_words), "digest long, s binary").dropDuplicates(["digest"])
     sets = checkpointed(sets)
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
-    links = checkpointed(both.select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long"))
+    links = both.select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long")
+    if max_distance is not None:
+        links = links.union(print_links(marked, max_distance))
+    links = checkpointed(links)
     groups = checkpointed(components(links))
     # A link of a forest that fails may have stood in for true ones: such keys are tried again, with the sets at hand.
     doubtful = checkpointed(edges.join(links, ["a", "b"], "left_anti").select("key").distinct())
