@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fitted(df: DataFrame, rows: int = 1 << 15) -> DataFrame:
+    """A checkpointed table of short rows, in as few partitions as its rows need: many near-empty ones cost driver and disks more than their rows."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage now: Spark keeps the shuffles, broadcasts and checkpoints that nothing refers to until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kvloom.llm import simhash
 from kvloom.llm.components import components
 from kvloom.llm.kernel import BASE, SPACES, Sequences, Words, mix, signed, slices
-from kvloom.llm.shared import LAST_ID, checkpointed, joined_by, order_id, parts
+from kvloom.llm.shared import LAST_ID, checkpointed, fitted, joined_by, order_id, parts, release
 
 PICK = 3
 
@@ -255,11 +255,11 @@ def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def print_links(marked: DataFrame, max_distance: int) -> DataFrame:
     """Links (a < b) between the classes of rows (digest, print) whose fingerprints are equal or linked by the index of `simhash`."""
-    both = checkpointed(marked.select("print", "digest").distinct())
-    prints = checkpointed(both.groupBy("print").agg(F.min("digest").alias("name"), F.count("*").alias("n")))
+    both = fitted(checkpointed(marked.select("print", "digest").distinct()))
+    prints = fitted(checkpointed(both.groupBy("print").agg(F.min("digest").alias("name"), F.count("*").alias("n"))))
     total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     same = joined_by(both, prints.where("n > 1"), "print", "n", total).select(F.col("digest").alias("a"), F.col("name").alias("b"))
-    near = simhash.links(prints.select(F.col("print").alias("fp")), max_distance).distinct()
+    near = fitted(checkpointed(simhash.links(prints.select(F.col("print").alias("fp")), max_distance).distinct()))
     for side in ("a", "b"):
         near = near.join(prints.select(F.col("print").alias(side), F.col("name").alias(f"{side}_name")), side)
     out = same.union(near.select("a_name", "b_name")).where("a <> b")
@@ -274,7 +274,8 @@ def near_copies(
 
     With max_distance, texts whose fingerprints of print_words-word shingles differ in so many bits at most are linked as well.
     """
-    n = parts(docs.sparkSession)
+    spark = docs.sparkSession
+    n = parts(spark)
     own = docs.select(order_id(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     sketches = _sketches(shingle_words, views, None if max_distance is None else print_words)
     marked = checkpointed(own.mapInArrow(sketches, "id long, th long, digest long, fp long, views array<long>, print long"))
@@ -290,20 +291,25 @@ def near_copies(
         blocks = checkpointed(large.groupBy("key").agg(F.ceil(F.count("*") / (block // 2)).alias("blocks")))
         dealt = _dealt(large, blocks)
         edges = edges.union(dealt.groupBy("key", "lo", "hi").applyInArrow(_block_links(cutoff), "key long, a long, b long"))
-    edges = checkpointed(edges.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = edges.select("a", "b").distinct()
+    edges = fitted(checkpointed(edges.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    pairs = fitted(checkpointed(edges.select("a", "b").distinct()))
+    del keyed, found, large
+    release(spark)
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     wanted = classes.join(wanted, "digest").select("digest", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
     sets = own.join(wanted, ["id", "th"]).select("digest", "text").mapInArrow(_sets(shingle_words), "digest long, s binary").dropDuplicates(["digest"])
     sets = checkpointed(sets)
+    release(spark)
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
     links = both.select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long")
     if max_distance is not None:
         links = links.union(print_links(marked, max_distance))
-    links = checkpointed(links)
+    links = fitted(checkpointed(links))
+    del both, pairs, wanted
+    release(spark)
     groups = checkpointed(components(links))
     # A link of a forest that fails may have stood in for true ones: such keys are tried again, with the sets at hand.
-    doubtful = checkpointed(edges.join(links, ["a", "b"], "left_anti").select("key").distinct())
+    doubtful = fitted(checkpointed(edges.join(links, ["a", "b"], "left_anti").select("key").distinct()))
     if not doubtful.isEmpty():
         again = classes.select(F.explode("views").alias("key"), F.col("digest").alias("name"), "fp").join(doubtful, "key", "left_semi")
         again = again.join(sets.select(F.col("digest").alias("name"), (F.length("s") / 4).cast("long").alias("n")), "name")
@@ -312,9 +318,12 @@ def near_copies(
         rows = "key long, lo long, hi long, own long, name long, fp long, n long, label long"
         again = again.select(*(c.split()[0] for c in rows.split(", "))).groupBy("key", "lo", "hi").applyInArrow(_open(cutoff, similarity), rows)
         again = again.join(sets.withColumnRenamed("digest", "name"), "name")
-        more = checkpointed(again.groupBy("key", "lo", "hi").applyInArrow(_tried(cutoff, similarity), "a long, b long"))
+        more = fitted(checkpointed(again.groupBy("key", "lo", "hi").applyInArrow(_tried(cutoff, similarity), "a long, b long")))
+        del again
         if not more.isEmpty():
             groups = checkpointed(components(links.union(more)))
+    del sets, edges, doubtful, links
+    release(spark)
     named = classes.join(groups, F.col("digest") == F.col("node"), "left").select("digest", "rows", "first", F.coalesce("component", "digest").alias("component"))
     named = checkpointed(named)
     least = checkpointed(named.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")))

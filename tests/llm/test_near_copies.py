@@ -1,10 +1,12 @@
-"""The near-copy stage of the pipeline: the links of op7 and those by similarity."""
+"""The near-copy stage of the pipeline: the links of op7 and those by similarity, and what its components cost the driver."""
 
 import random
 
+import pytest
 import xxhash
 
 import corpus_pipeline
+from kvloom.llm import components as graphs
 from kvloom.llm import similar
 
 
@@ -57,3 +59,24 @@ def test_stage_links_fingerprints_and_similar_sets(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
     got = {r.doc_id: r.component_id for r in similar.near_copies(df, max_distance=3, block=2).collect()}
     assert got == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components_of_random_graphs(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graphs, "ONE_TASK", one_task)
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(400, 460)] + [(480, i) for i in range(460, 500)]
+    want = roots(500, edges)
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    got = [(r.node, r.component) for r in graphs.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()]
+    assert sorted(got) == sorted((x, want[x]) for x in nodes)
+
+
+def test_components_cost_the_driver_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert graphs.components(edges).count() == 301
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
